@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 # Characters that count as white space, the labels a generator may
 # echo, and the layout of a context item.
-WHITESPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+WHITESPACE = r"[\s\x1c-\x1f]"
+_UNICODE = "(?U)"  # makes \s match all Unicode white space
 ECHO_MARKERS = ["Context:", "CONTEXT:", "\nUser:", "\nAssistant:", "\nUSER:", "\nASSISTANT:"]
 QUESTION_LABEL = "Q: "
 ANSWER_LABEL = "A: "
@@ -30,23 +31,23 @@ DEFAULT_TEMPLATE = (
 
 def strip(text: Column) -> Column:
     """Drop leading and trailing Unicode white space."""
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.regexp_replace(text, f"{_UNICODE}^{WHITESPACE}+|{WHITESPACE}+$", "")
 
 
 def collapse_whitespace(text: Column) -> Column:
-    return F.regexp_replace(strip(text), f"{WHITESPACE}+", " ")
+    return F.regexp_replace(strip(text), f"{_UNICODE}{WHITESPACE}+", " ")
 
 
 def normalize_question(text: Column) -> Column:
     """Strip, first character upper case, all others lower case."""
-    head = F.regexp_replace(text, f"^{WHITESPACE}+", "")
+    head = F.regexp_replace(text, f"{_UNICODE}^{WHITESPACE}+", "")
     body = strip(text)
     return F.concat(F.upper(F.substring(head, 1, 1)), F.lower(F.substring(body, 2, 2**31 - 1)))
 
 
 def tokens(text: Column) -> Column:
     """Lexical tokens: split on white space, case and punctuation kept, no empty tokens."""
-    return F.array_remove(F.split(text, f"{WHITESPACE}+"), "")
+    return F.array_remove(F.split(text, f"{_UNICODE}{WHITESPACE}+"), "")
 
 
 def token_set(text: Column) -> Column:
