@@ -50,7 +50,7 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, f"{_UNICODE}{WHITESPACE}+"), "")
 
 
-def token_set(text: Column) -> Column:
+def token_set(text: Column | str) -> Column:
     """Distinct lower-cased tokens, as the reranker compares them."""
     return F.array_distinct(tokens(F.lower(text)))
 
