@@ -301,7 +301,9 @@ def dense_search(
     squared distance, lowest first, then lowest position. With ``n_probe`` only
     that many nearest cells are visited: an approximate search.
     """
-    asked_all = questions.select(F.col(id_col).alias("query_id"), "embedding").filter("embedding is not null")
+    # written first: an embedder must not run again for every use
+    embedded = materialize(questions.select(F.col(id_col).alias("query_id"), "embedding"), "embedded")
+    asked_all = embedded.filter("embedding is not null")
     asked = materialize(
         asked_all.groupBy("embedding").agg(F.min("query_id").alias("ask")).select("ask", "embedding"), "asked"
     )

@@ -269,14 +269,15 @@ def _question_terms(index: LexicalIndex, asked: DataFrame) -> DataFrame:
 
 def _matching_postings(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
     """Postings of the wanted terms; long lists are spread over salted keys."""
-    postings = index.postings.select("term_bucket", "term", "text_id", "gain")
+    # spread by text, small postings need no further shuffle to sum up a text's score
+    postings = spread(index.postings.select("term_bucket", "term", "text_id", "gain"), "text_id")
     n_salts = min(MAX_SALTS, max(1, -(-index.longest_list // POSTINGS_PER_SALT)))
     if n_salts == 1:
         return postings.join(wanted, ["term_bucket", "term"])
     # short lists could do with fewer salts, but a posting does not know its list's length
-    spread = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
+    spread_terms = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
     salted = postings.withColumn("salt", F.pmod(F.xxhash64("text_id"), F.lit(n_salts)).cast("int"))
-    return salted.join(spread, ["term_bucket", "term", "salt"])
+    return salted.join(spread_terms, ["term_bucket", "term", "salt"])
 
 
 def _score_all(index: LexicalIndex, terms: DataFrame) -> DataFrame:
@@ -410,9 +411,13 @@ def bm25_search(
     Higher score first, then higher position; every question gets
     min(k, documents) rows, with score 0 where nothing matches.
     """
-    asked_all = questions.select(
-        F.col(id_col).alias("query_id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens")
-    ).withColumn("digest", F.sha2(F.array_join("tokens", " "), 256))
+    words = tokens(F.coalesce(F.col(text_col), F.lit("")))
+    asked_all = materialize(
+        questions.select(F.col(id_col).alias("query_id"), words.alias("tokens")).withColumn(
+            "digest", F.sha2(F.array_join("tokens", " "), 256)
+        ),
+        "questions",
+    )
     groups = asked_all.groupBy("digest").agg(F.min("query_id").alias("ask"))
     asked = asked_all.join(groups.select("ask"), F.col("query_id") == F.col("ask"), "left_semi").select(
         F.col("query_id").alias("ask"), "digest", "tokens"

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,8 +43,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input too small to fill one scan task per core.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on an input too small to fill one scan task per core, grouped by ``keys`` if any.
 
     Larger inputs are left as they are: their scan is parallel enough, and
     moving them would be a needless shuffle.
@@ -52,4 +55,10 @@ def spread(df: DataFrame) -> DataFrame:
         spark.conf.get("spark.sql.files.maxPartitionBytes")
     )
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * split else df
+    return df.repartition(cores, *keys) if size < cores * split else df
+
+
+def side_by_side(*jobs: Callable[[], Any]) -> list[Any]:
+    """Run independent chains of Spark jobs at the same time."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
