@@ -25,9 +25,11 @@ from lorequery.session import materialize
 from lorequery.sources.tables import require_columns, write_once
 
 CELL_ROWS = 4096
-MAX_CELLS = 1024
-BLOCK_ROWS = 4096
+MAX_CELLS = 4096
+BLOCK_ROWS = 16384
 CHUNK_ROWS = 1024
+# questions compared at once with a block: bounds the matrix of distances
+SLICE_ROWS = 128
 # Distances are ranked in units of the sixth decimal.
 _UNITS = 1e6
 _MARGIN = 2e-6
@@ -215,17 +217,20 @@ def _nearest(k: int, ask_type: pa.DataType):
             return schema.empty_table()
         ids = block["vec_id"].to_numpy()
         vectors, asked = _matrix(block["embedding"]), _matrix(chunk["embedding"])
-        away = _squared(asked, vectors)
         n = min(k, len(ids))
-        limit = np.partition(away, n - 1, axis=1)[:, n - 1] + _slack(asked, vectors, 1e-12)
+        slack = _slack(asked, vectors, 1e-12)
         picked, units = [], []
-        for i, question in enumerate(asked):
-            near = np.nonzero(away[i] <= limit[i])[0]
-            exact = ((vectors[near] - question) ** 2).sum(1)
-            rounded = np.floor(exact * _UNITS + 0.5).astype("int64")
-            best = np.lexsort((ids[near], rounded))[:n]
-            picked.append(ids[near[best]])
-            units.append(rounded[best])
+        for start in range(0, len(asked), SLICE_ROWS):
+            part = asked[start : start + SLICE_ROWS]
+            away = _squared(part, vectors)
+            limit = np.partition(away, n - 1, axis=1)[:, n - 1] + slack
+            for i, question in enumerate(part):
+                near = np.nonzero(away[i] <= limit[i])[0]
+                exact = ((vectors[near] - question) ** 2).sum(1)
+                rounded = np.floor(exact * _UNITS + 0.5).astype("int64")
+                best = np.lexsort((ids[near], rounded))[:n]
+                picked.append(ids[near[best]])
+                units.append(rounded[best])
         rows = np.repeat(np.arange(len(asked)), n)
         out = [
             chunk["ask"].take(pa.array(rows)),

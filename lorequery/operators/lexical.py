@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lorequery.functions.text import tokens
 from lorequery.operators.ranking import number_rows, top_k
-from lorequery.session import materialize, spread
+from lorequery.session import materialize, side_by_side, spread
 from lorequery.sources.tables import write_once
 
 # Parameters of the scoring formula, and the places scores are rounded to
@@ -34,12 +34,13 @@ MISSING_KEY = "nan"
 
 # Rounding can lift a score by half a unit of the last digit on both sides of a comparison.
 _MARGIN = 2e-6
-CHAMPIONS = 8
-SEED_TERMS = 4
+CHAMPIONS = 2
+SEED_TERMS = 8
 POSTINGS_PER_BUCKET = 64_000_000
 MAX_BUCKETS = 4096
 POSTINGS_PER_SALT = 1_000_000
-MAX_SALTS = 256
+MAX_SALTED_TERMS = 10_000
+MAX_TOP_K = 100_000
 # Up to this many posting hits one plain join and aggregate is cheaper than pruning.
 DIRECT_HITS = 50_000_000
 
@@ -50,7 +51,9 @@ def key_tokens(key: Column) -> Column:
 
 def token_positions(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per token with its place in the text."""
-    return corpus.select(id_col, F.posexplode(key_tokens(F.col(text_col))).alias("pos", "token"))
+    words = key_tokens(F.col(text_col))
+    # outer with a filter, see _exploded
+    return corpus.select(id_col, F.posexplode_outer(words).alias("pos", "token")).filter("token is not null")
 
 
 def term_frequencies(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -119,7 +122,7 @@ class LexicalIndex:
 
     docs: DataFrame  # doc_pos, digest, dl
     positions: DataFrame  # doc_pos, from_top (0 for the highest position)
-    texts: DataFrame  # text_id, digest, n_copies
+    texts: DataFrame  # text_id, digest, n_copies, dl
     postings: DataFrame  # term_bucket, term, text_id, tf, dl, gain
     terms: DataFrame  # term_bucket, term, df, n_texts, idf, max_gain, champions
     n_docs: int
@@ -128,6 +131,7 @@ class LexicalIndex:
     avgdl: float
     floor: float
     longest_list: int
+    n_postings: int
 
     @property
     def weights_may_be_negative(self) -> bool:
@@ -138,46 +142,24 @@ def _bucket(term: Column, n_buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(n_buckets)).cast("int")
 
 
-def build_lexical_index(
-    corpus: DataFrame,
-    path: str,
-    key_col: str = "question",
-    id_col: str = "doc_pos",
-    overwrite: bool = False,
-) -> LexicalIndex:
-    """Write the index tables that are missing under ``path`` and open them."""
-    spark = corpus.sparkSession
-    source = spread(corpus.select(F.col(id_col).alias("doc_pos"), F.col(key_col).alias("key"))).select(
-        "doc_pos", key_tokens(F.col("key")).alias("tokens")
-    )
-
-    def docs() -> DataFrame:
-        return source.select(
-            "doc_pos",
-            F.sha2(F.array_join("tokens", " "), 256).alias("digest"),
-            F.size("tokens").cast("long").alias("dl"),
-        )
-
-    fresh = write_once(spark, f"{path}/docs", docs, overwrite)
-    docs_t = spark.read.parquet(f"{path}/docs")
-
-    def positions() -> DataFrame:
-        return number_rows(docs_t.select("doc_pos"), [F.col("doc_pos").desc()], "positions", "from_top")
-
-    fresh |= write_once(spark, f"{path}/positions", positions, overwrite or fresh)
+def _build_postings(source: DataFrame, docs_t: DataFrame, path: str, overwrite: bool):
+    """Texts, postings and terms, with the corpus figures they rest on."""
+    spark = source.sparkSession
 
     def texts() -> DataFrame:
         return docs_t.groupBy("digest").agg(
-            F.max("doc_pos").alias("text_id"), F.count(F.lit(1)).alias("n_copies")
+            F.max("doc_pos").alias("text_id"), F.count(F.lit(1)).alias("n_copies"), F.max("dl").alias("dl")
         )
 
-    fresh |= write_once(spark, f"{path}/texts", texts, overwrite or fresh)
+    fresh = write_once(spark, f"{path}/texts", texts, overwrite)
     texts_t = spark.read.parquet(f"{path}/texts")
-    n_docs, total = docs_t.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    n_texts = texts_t.count()
+    n_texts, n_docs, total = texts_t.agg(
+        F.count(F.lit(1)),
+        F.coalesce(F.sum("n_copies"), F.lit(0)),
+        F.coalesce(F.sum(F.col("dl") * F.col("n_copies")), F.lit(0)),
+    ).first()
     avgdl = total / n_docs if n_docs else 0.0
     n_buckets = min(MAX_BUCKETS, max(1, -(-total // POSTINGS_PER_BUCKET)))
-
     by_bucket = ["term_bucket"] if n_buckets > 1 else None
 
     def postings() -> DataFrame:
@@ -231,7 +213,42 @@ def build_lexical_index(
 
     write_once(spark, f"{path}/terms", terms, overwrite or fresh)
     terms_t = spark.read.parquet(f"{path}/terms")
-    mean_idf, longest = terms_t.agg(F.avg("idf"), F.max("n_texts")).first()
+    return texts_t, postings_t, terms_t, n_docs, n_texts, n_buckets, avgdl
+
+
+def build_lexical_index(
+    corpus: DataFrame,
+    path: str,
+    key_col: str = "question",
+    id_col: str = "doc_pos",
+    overwrite: bool = False,
+) -> LexicalIndex:
+    """Write the index tables that are missing under ``path`` and open them."""
+    spark = corpus.sparkSession
+    # spread by position, a small corpus needs no further shuffle to count terms per text
+    keyed = spread(corpus.select(F.col(id_col).alias("doc_pos"), F.col(key_col).alias("key")), "doc_pos")
+    source = keyed.select("doc_pos", key_tokens(F.col("key")).alias("tokens"))
+
+    def docs() -> DataFrame:
+        return source.select(
+            "doc_pos",
+            F.sha2(F.array_join("tokens", " "), 256).alias("digest"),
+            F.size("tokens").cast("long").alias("dl"),
+        )
+
+    fresh = write_once(spark, f"{path}/docs", docs, overwrite)
+    docs_t = spark.read.parquet(f"{path}/docs")
+
+    def positions() -> bool:
+        def numbered() -> DataFrame:
+            return number_rows(docs_t.select("doc_pos"), [F.col("doc_pos").desc()], "positions", "from_top")
+
+        return write_once(spark, f"{path}/positions", numbered, overwrite or fresh)
+
+    _, (texts_t, postings_t, terms_t, n_docs, n_texts, n_buckets, avgdl) = side_by_side(
+        positions, lambda: _build_postings(source, docs_t, path, overwrite or fresh)
+    )
+    mean_idf, longest, n_postings = terms_t.agg(F.avg("idf"), F.max("n_texts"), F.sum("n_texts")).first()
     return LexicalIndex(
         docs=docs_t,
         positions=spark.read.parquet(f"{path}/positions"),
@@ -244,6 +261,7 @@ def build_lexical_index(
         avgdl=avgdl,
         floor=EPSILON * (mean_idf or 0.0),
         longest_list=longest or 0,
+        n_postings=n_postings or 0,
     )
 
 
@@ -268,16 +286,31 @@ def _question_terms(index: LexicalIndex, asked: DataFrame) -> DataFrame:
 
 
 def _matching_postings(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
-    """Postings of the wanted terms; long lists are spread over salted keys."""
+    """Postings of the wanted terms; the lists of frequent terms are spread over salted keys."""
     # spread by text, small postings need no further shuffle to sum up a text's score
     postings = spread(index.postings.select("term_bucket", "term", "text_id", "gain"), "text_id")
-    n_salts = min(MAX_SALTS, max(1, -(-index.longest_list // POSTINGS_PER_SALT)))
-    if n_salts == 1:
+    salt_rows = max(POSTINGS_PER_SALT, -(-index.n_postings // MAX_SALTED_TERMS))
+    if index.longest_list <= salt_rows:
         return postings.join(wanted, ["term_bucket", "term"])
-    # short lists could do with fewer salts, but a posting does not know its list's length
-    spread_terms = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
-    salted = postings.withColumn("salt", F.pmod(F.xxhash64("text_id"), F.lit(n_salts)).cast("int"))
-    return salted.join(spread_terms, ["term_bucket", "term", "salt"])
+    # at most MAX_SALTED_TERMS lists can be longer than salt_rows
+    frequent = F.broadcast(
+        index.terms.filter(F.col("n_texts") > salt_rows).select(
+            "term_bucket", "term", F.ceil(F.col("n_texts") / salt_rows).cast("int").alias("n_salts")
+        )
+    )
+    keys = ["term_bucket", "term"]
+    n_salts = F.coalesce("n_salts", F.lit(1))
+    salted = (
+        postings.join(frequent, keys, "left")
+        .withColumn("salt", F.pmod(F.xxhash64("text_id"), n_salts).cast("int"))
+        .drop("n_salts")
+    )
+    spread_terms = (
+        wanted.join(frequent, keys, "left")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), n_salts - 1)))
+        .drop("n_salts")
+    )
+    return salted.join(spread_terms, [*keys, "salt"])
 
 
 def _score_all(index: LexicalIndex, terms: DataFrame) -> DataFrame:
@@ -390,6 +423,9 @@ def _with_zero_rows(index: LexicalIndex, asks: DataFrame, nonzero: DataFrame, k:
         F.explode(F.expr(f"sequence(chunk * {step}, least(reach, (chunk + 1) * {step}) - 1)")).alias("from_top"),
     )
     ranks = index.positions
+    if not index.weights_may_be_negative:
+        # nonzero scores are positive here, so a short question has fewer than k of them
+        ranks = F.broadcast(ranks.filter(F.col("from_top") < 2 * k))
     taken = (
         nonzero.join(short.select("ask"), "ask", "left_semi").join(ranks, "doc_pos").select("ask", "from_top")
     )
@@ -424,6 +460,8 @@ def bm25_search(
     )
     terms = materialize(_question_terms(index, asked), "question_terms")
     order = [F.desc("score"), F.desc("text_id")]
+    if not 1 <= k <= MAX_TOP_K:
+        raise ValueError(f"k must be between 1 and {MAX_TOP_K}")
     if index.weights_may_be_negative:
         scored = _score_all(index, terms).withColumn("score", _rounded(F.col("score")))
         nonzero = materialize(_all_copies(index, scored.filter("score <> 0"), None), "scored")

@@ -176,7 +176,7 @@ def collection_count(spark, sf_dir):
 def hash_embed(spark, sf_dir):
     embedded = hash_embedder()(spread(qa_pairs(spark, sf_dir).select("doc_pos", "answer")), "answer")
     return (
-        embedded.select("doc_pos", F.posexplode("embedding").alias("dim", "weight"))
+        embedded.select("doc_pos", F.posexplode_outer("embedding").alias("dim", "weight"))
         .filter("weight > 0")
         .withColumn("weight", F.round(F.col("weight").cast("double"), 6))
     )
@@ -290,7 +290,7 @@ def stripped(spark, sf_dir):
 
 
 def _exchanges(spark, sf_dir):
-    return qa_pairs(spark, sf_dir).select(
+    return spread(qa_pairs(spark, sf_dir)).select(
         F.col("conv_id").alias("session_id"),
         F.col("turn").alias("seq"),
         F.col("question").alias("user"),
