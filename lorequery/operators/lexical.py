@@ -442,7 +442,7 @@ def bm25_search(
     text_col: str = "question",
     direct_hits: int = DIRECT_HITS,
 ) -> DataFrame:
-    """The k best documents per question: ``id_col, rank, doc_pos, score``.
+    """The k best documents per question: ``id_col, rank, doc_pos, score``; question ids are unique.
 
     Higher score first, then higher position; every question gets
     min(k, documents) rows, with score 0 where nothing matches.

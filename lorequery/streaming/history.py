@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 PAGE_ROWS = 100
 
 
-def append_order(exchanges: DataFrame) -> DataFrame:
-    """Exchanges as rows in arrival order of their session."""
-    return exchanges.select("session_id", "seq", "user", "assistant")
-
-
 def session_history(exchanges: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """Nested view: ``session_id, page, n, history`` with the exchanges of a page in arrival order.
 
