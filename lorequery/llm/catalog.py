@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequery.llm import rules, sharding, topk
+from lorequery.llm import langid, packing, quality, rules, sharding, topk
 from lorequery.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,10 +22,27 @@ def op1_topk(spark, sf_dir):
     return topk.largest_products(vectors.filter("id % 50 = 0"), vectors, 5)
 
 
+def op2_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op3_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def public_encoder() -> packing.BytePairEncoder:
+    return packing.BytePairEncoder(
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+
+
+def op5_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_encoder())
+
+
 def op7_rules(spark, sf_dir):
     ledger = rules.rule_ledger(table(spark, sf_dir, "documents"))
     return ledger.select(
@@ -39,8 +57,16 @@ def op7_rules(spark, sf_dir):
     )
 
 
+def op8_quality(spark, sf_dir):
+    statistics = quality.document_statistics(table(spark, sf_dir, "documents"))
+    return quality.score(statistics, quality.fit(statistics, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_topk": op1_topk,
+    "op2_langid": op2_langid,
     "op3_sharding": op3_sharding,
+    "op5_packing": op5_packing,
     "op7_rules": op7_rules,
+    "op8_quality": op8_quality,
 }
