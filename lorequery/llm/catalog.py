@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequery.llm import langid, packing, quality, rules, sharding, topk
+from lorequery.llm import langid, packing, pieces, pii, quality, rules, sharding, topk
 from lorequery.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,11 @@ def op5_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_encoder())
 
 
+def op6_pieces(spark, sf_dir):
+    """Ids of every whole text over the public pieces, as digests, and whether decoding gives the text back."""
+    return pieces.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_rules(spark, sf_dir):
     ledger = rules.rule_ledger(table(spark, sf_dir, "documents"))
     return ledger.select(
@@ -62,11 +67,25 @@ def op8_quality(spark, sf_dir):
     return quality.score(statistics, quality.fit(statistics, table(spark, sf_dir, "labels")))
 
 
+def op10_pii(spark, sf_dir):
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "context")
+    counts = [pii.count_kind(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.KINDS[:4]]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(F.encode(pii.listed(base), "UTF-8"), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_topk": op1_topk,
     "op2_langid": op2_langid,
     "op3_sharding": op3_sharding,
     "op5_packing": op5_packing,
+    "op6_pieces": op6_pieces,
     "op7_rules": op7_rules,
     "op8_quality": op8_quality,
+    "op10_pii": op10_pii,
 }
