@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequery.llm import langid, packing, pieces, pii, quality, rules, sharding, topk
+from lorequery.llm import langid, packing, pieces, pii, quality, repeats, rules, sharding, topk
 from lorequery.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,10 @@ def op8_quality(spark, sf_dir):
     return quality.score(statistics, quality.fit(statistics, table(spark, sf_dir, "labels")))
 
 
+def op9_repeats(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_pii(spark, sf_dir):
     found = pii.find_spans(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "context")
@@ -87,5 +91,6 @@ QUERIES: dict[str, Query] = {
     "op6_pieces": op6_pieces,
     "op7_rules": op7_rules,
     "op8_quality": op8_quality,
+    "op9_repeats": op9_repeats,
     "op10_pii": op10_pii,
 }

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorequery.session import materialize
+from lorequery import session
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +18,7 @@ BATCH_TEXTS = 256
 FOLDS = 5
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,14 +39,24 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows for the jobs that run inside."""
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(rows))
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_BATCH, before)
+        spark.conf.set(key, before)
+
+
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for the jobs that run inside."""
+    return _setting(spark, _BATCH, str(rows))
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage at a written table; shuffle files of the write go once it is done."""
+    with _setting(df.sparkSession, _CLEANUP, "true"):
+        return session.materialize(df, name)
 
 
 def materialize_texts(df: DataFrame, name: str, rows: int = BATCH_TEXTS) -> DataFrame:

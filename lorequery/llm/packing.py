@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lorequery.llm.common import BATCH_TEXTS, batches_of, running_total
-from lorequery.session import materialize, scratch_path
+from lorequery.llm.common import BATCH_TEXTS, batches_of, materialize, running_total
+from lorequery.session import scratch_path
 
 SEQUENCE_TOKENS = 1024
 #: Tokens of a window, in which every source gets its share.

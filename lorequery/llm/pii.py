@@ -13,8 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorequery.llm.common import free_name
-from lorequery.session import materialize
+from lorequery.llm.common import free_name, materialize
 
 #: Kinds in the order in which they are listed at equal starts.
 KINDS = ["email", "ip", "card", "phone", "context"]

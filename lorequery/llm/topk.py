@@ -17,9 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorequery.llm.common import batches_of
+from lorequery.llm.common import batches_of, materialize
 from lorequery.operators.ranking import top_k
-from lorequery.session import materialize
 
 #: Values in a packed block of candidates, and the share of it that a block of queries takes.
 BLOCK_VALUES = 1 << 16
