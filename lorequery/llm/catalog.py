@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequery.llm import langid, packing, pieces, pii, quality, repeats, rules, sharding, topk
+from lorequery.llm import jaccard, langid, packing, pieces, pii, quality, repeats, rules, sharding, topk
 from lorequery.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op3_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op4_jaccard(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def public_encoder() -> packing.BytePairEncoder:
     return packing.BytePairEncoder(
         public_tokenizers.path("byte_bpe_50k.json"),
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op1_topk": op1_topk,
     "op2_langid": op2_langid,
     "op3_sharding": op3_sharding,
+    "op4_jaccard": op4_jaccard,
     "op5_packing": op5_packing,
     "op6_pieces": op6_pieces,
     "op7_rules": op7_rules,

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorequery.llm.common import free_name, materialize, materialize_texts
+from lorequery.llm.hashing import hash_ranges, mix
 
 #: Bytes of a repeated string.
 LENGTH = 100
@@ -32,7 +32,6 @@ GRAMS = LENGTH - GRAM + 1
 _SLICE = 1 << 18
 _BITS = 19  # positions in a slice, which reaches LENGTH bytes into the next
 _MASK = np.uint64((1 << _BITS) - 1)
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 
@@ -41,31 +40,6 @@ GROUP = 1000
 _NO_ID = -(1 << 63)
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.full(n, base, dtype=np.uint64)) * np.uint64(pow(base, -1, 1 << 64))
-
-
-def _tables(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2^64."""
-    size = 1 << max(_BITS, n.bit_length())
-    return _powers(_BASES[which], size)[:n], _powers(pow(_BASES[which], -1, 1 << 64), size)[:n]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def _hashes(codes: np.ndarray, which: int, first: np.ndarray | slice, last: np.ndarray | slice) -> np.ndarray:
-    """Polynomial hashes of codes[first:last], the same wherever a string stands."""
-    powers, inverses = _tables(which, len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum(codes * powers[:-1], out=sums[1:])
-    return (sums[last] - sums[first]) * inverses[first]
-
-
 def anchors(data: bytes) -> tuple[np.ndarray, ...]:
     """Anchor hashes, context hashes, and the first and last start and the anchor offset of each.
 
@@ -78,7 +52,7 @@ def anchors(data: bytes) -> tuple[np.ndarray, ...]:
     for at in range(0, len(whole) - LENGTH + 1, _SLICE):
         codes = whole[at : at + _SLICE + LENGTH - 1].astype(np.uint64) + np.uint64(1)
         n = len(codes)
-        grams = _mix(_hashes(codes, 0, slice(0, n - GRAM + 1), slice(GRAM, n + 1)))
+        grams = mix(hash_ranges(codes, 0, slice(0, n - GRAM + 1), slice(GRAM, n + 1)))
         keys = (grams & ~_MASK) | np.arange(len(grams), dtype=np.uint64)
         # minima of all runs of GRAMS keys, from prefix and suffix minima of blocks
         blocks = -(-len(keys) // GRAMS)
@@ -93,9 +67,9 @@ def anchors(data: bytes) -> tuple[np.ndarray, ...]:
         first = np.concatenate(([0], change))
         last = np.concatenate((change - 1, [starts - 1]))
         own = place[first]
-        context = _hashes(codes, 1, first, last + LENGTH)
+        context = hash_ranges(codes, 1, first, last + LENGTH)
         shape = ((last - first) * LENGTH + own - first).astype(np.uint64)
-        context = _mix(context + _mix(shape))
+        context = mix(context + mix(shape))
         found.append((grams[own].view(np.int64), context.view(np.int64), at + first, at + last, own - first))
     if not found:
         empty = np.zeros(0, dtype=np.int64)
@@ -200,7 +174,7 @@ def _repeated_starts(texts: list[bytes]) -> list[np.ndarray]:
     place = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
     # strings whose hash is unique here cannot match; the index holds the stretches of the others
     _, inverse, counts = np.unique(
-        _hashes(codes, 0, place, place + LENGTH), return_inverse=True, return_counts=True
+        hash_ranges(codes, 0, place, place + LENGTH), return_inverse=True, return_counts=True
     )
     open_ = np.split(counts[inverse] > 1, np.cumsum(sizes)[:-1])
     pieces, where = [], []
