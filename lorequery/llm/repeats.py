@@ -212,33 +212,55 @@ def _spans(flags: np.ndarray, offset: int) -> list[tuple[int, int]]:
 _PLACE = 14  # bits of a place for the number of starts and the anchor offset
 
 
-def _scan(rows: DataFrame, spans: bool) -> DataFrame:
-    """Anchors of every document, each distinct context of it once.
+def _own(text: str) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...], np.ndarray]:
+    """Distinct contexts of a document, the spans that its own repeats settle, and anchors that repeat.
 
-    A context that repeats inside its document is settled at once: with ``spans`` it gives a row
-    without an anchor, whose place and context are the span that goes.
+    Contexts and spans are ``anchor, context, place``; a span has its start as place and its end as
+    context, and the anchor of a context in it.
     """
+    anchor, context, first, last, offset = anchors(text.encode("utf-8", "surrogatepass"))
+    again = np.zeros(len(anchor), dtype=bool)
+    order = np.lexsort((first, context, anchor))
+    again[order[1:]] = (np.diff(anchor[order]) == 0) & (np.diff(context[order]) == 0)
+    place = (first << _PLACE) | ((last - first) << (_PLACE // 2)) | offset
+    kept = ~again
+    spans = (np.zeros(0, dtype=np.int64),) * 3
+    if again.any():
+        gone = _covered(first[again], last[again] + LENGTH, int(last.max()) + LENGTH)
+        runs = np.array(_runs(gone), dtype=np.int64).reshape(-1, 2)
+        heads = np.searchsorted(first[again], runs[:, 0])
+        spans = (anchor[again][heads], runs[:, 1], runs[:, 0])
+    return (anchor[kept], context[kept], place[kept]), spans, anchor[again]
+
+
+def _anchor_counts(rows: DataFrame) -> DataFrame:
+    """``anchor, n`` per batch: in how many documents it is, one more where it repeats inside one."""
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
+            found = [_own(text) for text in part["text"]]
+            every = np.concatenate([a for (a, _, _), _, _ in found] + [again for _, _, again in found])
+            anchor, n = np.unique(every, return_counts=True)
+            yield pd.DataFrame({"anchor": anchor, "n": n.astype(np.int32)})
+
+    return rows.select("text").mapInPandas(scan, "anchor long, n int")
+
+
+def _scan(rows: DataFrame) -> DataFrame:
+    """Anchors of every document, each distinct context of it once; ``here`` rows are spans settled inside it."""
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [_own(text)[:2] for text in part["text"]]
             out = []
-            for doc, tag, text in zip(part["doc"], part["tag"], part["text"], strict=True):
-                anchor, context, first, last, offset = anchors(text.encode("utf-8", "surrogatepass"))
-                if not len(anchor):
-                    continue
-                order = np.lexsort((first, context, anchor))
-                again = np.zeros(len(anchor), dtype=bool)
-                again[order[1:]] = (np.diff(anchor[order]) == 0) & (np.diff(context[order]) == 0)
-                place = (first << _PLACE) | ((last - first) << (_PLACE // 2)) | offset
-                frame = {"anchor": anchor[~again], "context": context[~again], "place": place[~again]}
-                out.append(pd.DataFrame({"doc": doc, "tag": tag, "here": False, **frame}))
-                if spans and again.any():
-                    gone = _covered(first[again], last[again] + LENGTH, int(last.max()) + LENGTH)
-                    runs = np.array(_runs(gone), dtype=np.int64).reshape(-1, 2)
-                    frame = {"anchor": 0, "context": runs[:, 1], "place": runs[:, 0]}
-                    out.append(pd.DataFrame({"doc": doc, "tag": tag, "here": True, **frame}))
-            if out:
-                yield pd.concat(out)
+            for which in range(2):
+                sizes = [len(own[which][0]) for own in found]
+                columns = [np.concatenate([own[which][i] for own in found]) for i in range(3)]
+                keys = {c: np.repeat(part[c].to_numpy(), sizes) for c in ("doc", "tag")}
+                out.append(
+                    pd.DataFrame(keys | {"here": which == 1} | dict(zip(("anchor", "context", "place"), columns, strict=True)))
+                )
+            yield pd.concat(out)
 
     return rows.mapInPandas(scan, "doc long, tag long, here boolean, anchor long, context long, place long")
 
@@ -320,17 +342,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids = docs.select(F.col(id_col).cast("long").alias("doc"))
     tagged = not ids.groupBy("doc").count().filter("count > 1").limit(1).isEmpty()
     rows = _rows(docs, id_col, text_col, tagged)
-    twice = (
-        _scan(rows, spans=False).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    )
-    scanned = _scan(rows, spans=True)
-    places = materialize_texts(
-        scanned.filter("not here").join(twice, "anchor", "left_semi").drop("here"), "repeated-anchors"
-    )
-    here = materialize_texts(
-        scanned.filter("here").select("doc", "tag", F.col("place").alias("start"), F.col("context").alias("end")),
-        "own-spans",
-    )
+    twice = _anchor_counts(rows).groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
+    found = materialize_texts(_scan(rows).join(twice, "anchor", "left_semi"), "repeated-anchors")
+    places = found.filter("not here").drop("here")
+    here = found.filter("here").select("doc", "tag", F.col("place").alias("start"), F.col("context").alias("end"))
     spot = F.struct("doc", "tag", "place")
     heads = places.groupBy("anchor", "context").agg(F.min(spot).alias("head"))
     placed = materialize(
