@@ -28,6 +28,10 @@ NEAR, OUT_OF = 75, 100
 BLOCK = 1500
 #: Sets in a leaf, and children of a node.
 LEAF, FANOUT = 16, 8
+#: N-grams in the prefixes of more documents come last in the order, so many of them at most (they are broadcast).
+HOT, HOT_GRAMS = 1000, 100_000
+#: Members of lists that are handed to a worker together, about.
+TOGETHER = 4000
 #: Bits of a bitmap per n-gram, at least.
 _BITS_EACH = 2
 _PAIRS = 1 << 15
@@ -179,8 +183,28 @@ class _Union:
         return self.up
 
 
+def _few(maps: list[np.ndarray], sizes: np.ndarray, union: _Union) -> None:
+    """The bounds for the pairs of a single leaf."""
+    n = sizes.tolist()
+    for i in range(len(n)):
+        for j in range(i):
+            if OUT_OF * n[i] < NEAR * n[j] or OUT_OF * n[j] < NEAR * n[i] or union.root(i) == union.root(j):
+                continue
+            a, b = maps[i], maps[j]
+            if len(a) != len(b):
+                width = 64 * min(len(a), len(b))
+                a, b = _fold(a[None, :], width)[0], _fold(b[None, :], width)[0]
+            only_a, only_b = int(np.bitwise_count(a & ~b).sum()), int(np.bitwise_count(b & ~a).sum())
+            if (NEAR + OUT_OF) * min(n[i] - only_a, n[j] - only_b) >= NEAR * (n[i] + n[j]):
+                union.join(i, j)
+
+
 def candidate_clusters(maps: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """The smallest member of each set's cluster, where surviving pairs connect."""
     union = _Union(len(maps))
+    if len(maps) <= LEAF:
+        _few(maps, sizes, union)
+        return union.roots()
     for a, b in candidate_pairs(maps, sizes):
         roots = union.roots()
         apart = roots[a] != roots[b]
@@ -234,40 +258,50 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return roots
 
 
-def _scan(rows: DataFrame, what: str) -> DataFrame:
-    """``sets``: one row per document with its set's key, size and bitmap; ``grams``: one per prefix n-gram."""
+def _scan(rows: DataFrame, hot: np.ndarray) -> DataFrame:
+    """``id, digest, n, key, bits, grams`` per document: its set's size, key, bitmap and prefix n-grams.
+
+    The order of n-grams is by hash, with the ``hot`` ones last.
+    """
 
-    def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for text in part["text"]:
                 grams = shingles(text)
-                out.append((len(grams), set_key(grams), bitmap(grams, bitmap_width(len(grams))).tobytes()))
-            frame = pd.DataFrame(out, columns=["n", "key", "bits"])
+                n = len(grams)
+                key, bits = set_key(grams), bitmap(grams, bitmap_width(n)).tobytes()
+                if len(hot) and n:
+                    last = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+                    grams = np.concatenate((grams[~last], grams[last]))
+                out.append((n, key, bits, grams[: prefix_size(n)].view(np.int64)))
+            frame = pd.DataFrame(out, columns=["n", "key", "bits", "grams"])
             yield pd.concat([part[["id", "digest"]].reset_index(drop=True), frame], axis=1)
 
-    def grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = [shingles(text) for text in part["text"]]
-            sizes = [prefix_size(len(own)) for own in found]
-            yield pd.DataFrame(
-                {
-                    "gram": np.concatenate([own[:n] for own, n in zip(found, sizes, strict=True)]).view(np.int64),
-                    "key": np.repeat(np.array([set_key(own) for own in found], dtype=np.int64), sizes),
-                }
-            )
+    kind = dict(rows.dtypes)["id"]
+    return rows.mapInPandas(scan, f"id {kind}, digest long, n long, key long, bits binary, grams array<long>")
+
 
-    if what == "sets":
-        kind = dict(rows.dtypes)["id"]
-        return rows.mapInPandas(sets, f"id {kind}, digest long, n long, key long, bits binary")
-    return rows.select("text").mapInPandas(grams, "gram long, key long")
+def _routes(scanned: DataFrame) -> DataFrame:
+    """``gram, key`` of the prefix n-grams."""
+    return scanned.select(F.explode("grams").alias("gram"), "key")
 
 
-def _lists(rows: DataFrame) -> DataFrame:
-    """``list, key``: the sets that share a prefix n-gram; n-grams with equal lists count once."""
-    shared = _scan(rows, "grams").groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+def _frequent(scanned: DataFrame) -> np.ndarray:
+    """Sorted n-grams that stand in the prefixes of more than HOT documents, the HOT_GRAMS most frequent at most.
+
+    Which n-grams come last in the order is a matter of speed only: any order is right.
+    """
+    counts = _routes(scanned).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
+    top = counts.orderBy(F.desc("n"), "gram").limit(HOT_GRAMS).select("gram").collect()
+    return np.sort(np.array([r["gram"] for r in top], dtype=np.int64).view(np.uint64))
+
+
+def _lists(scanned: DataFrame) -> DataFrame:
+    """``list, key, members``: the sets that share a prefix n-gram; n-grams with equal lists count once."""
+    shared = _routes(scanned).groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     shared = shared.filter("low != high").select("gram")
-    routes = materialize_texts(_scan(rows, "grams").join(shared, "gram", "left_semi").distinct(), "routes")
+    routes = materialize(_routes(scanned).join(shared, "gram", "left_semi").distinct(), "routes")
     marks = routes.groupBy("gram").agg(
         F.count(F.lit(1)).alias("n"),
         F.bit_xor(F.xxhash64("key")).alias("x"),
@@ -302,16 +336,25 @@ def _candidates(lists: DataFrame, sets: DataFrame) -> DataFrame:
     members = lists.join(sets.select("key", "n", "bits"), "key")
     tasks = _blocks(members, "list", "members", "list-blocks")
 
+    # short lists go to a worker together; each block pair of a long one goes alone
+    groups = lists.count() // TOGETHER + 1
+    bucket = F.when(F.col("task") == 0, F.pmod(F.xxhash64("list"), F.lit(groups))).otherwise(F.col("list"))
+
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("key", ignore_index=True)
+        group = group.sort_values(["list", "key"], ignore_index=True)
         maps = [np.frombuffer(b, dtype=np.uint64) for b in group["bits"]]
-        roots = candidate_clusters(maps, group["n"].to_numpy())
-        keys = group["key"].to_numpy()
-        moved = roots != np.arange(len(roots))
-        return pd.DataFrame({"a": keys[roots[moved]], "b": keys[moved]})
+        sizes, keys, lists = (group[c].to_numpy() for c in ("n", "key", "list"))
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(lists)) + 1, [len(lists)]))
+        first, second = [], []
+        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            roots = candidate_clusters(maps[start:end], sizes[start:end])
+            moved = np.flatnonzero(roots != np.arange(end - start))
+            first.append(keys[start + roots[moved]])
+            second.append(keys[start + moved])
+        return pd.DataFrame({"a": np.concatenate(first), "b": np.concatenate(second)}).drop_duplicates()
 
-    small = tasks.select("list", "task", "key", "n", "bits")
-    return materialize(small.groupBy("list", "task").applyInPandas(compare, "a long, b long").distinct(), "candidates")
+    dealt = tasks.select(bucket.alias("bucket"), "task", "list", "key", "n", "bits")
+    return materialize(dealt.groupBy("bucket", "task").applyInPandas(compare, "a long, b long").distinct(), "candidates")
 
 
 def _exact(clusters: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
@@ -359,13 +402,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"),
         F.col(text_col).alias("text"),
     )
-    base = materialize_texts(_scan(rows, "sets"), "sets")
+    scanned = materialize_texts(_scan(rows, np.zeros(0, dtype=np.uint64)), "sets")
+    base = scanned.drop("grams")
+    hot = _frequent(scanned)
+    if len(hot):
+        scanned = materialize_texts(_scan(rows, hot), "sets")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")
     sets = materialize(
         base.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(place).alias("least")),
         "distinct-sets",
     )
-    candidates = _candidates(_lists(rows), sets)
+    candidates = _candidates(_lists(scanned), sets)
     clusters = components(candidates, "clusters").select(F.col("node").alias("key"), "root")
     links = _exact(materialize(clusters, "clusters"), sets.select("key", "least"), rows)
     linked = components(links, "linked").select(F.col("node").alias("key"), "root")
