@@ -406,7 +406,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = scanned.drop("grams")
     hot = _frequent(scanned)
     if len(hot):
-        scanned = materialize_texts(_scan(rows, hot), "sets")
+        scanned = materialize_texts(_scan(rows, hot).select("key", "grams"), "prefixes")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")
     sets = materialize(
         base.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(place).alias("least")),
