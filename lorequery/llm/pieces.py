@@ -21,10 +21,11 @@ from sentencepiece import SentencePieceProcessor
 from lorequery.llm.common import materialize_texts
 
 MARK = "▁"
-#: Stretches between forced boundaries whose ids a worker remembers, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 32
+#: Words whose ids a worker remembers, and the longest of them.
+REMEMBERED, REMEMBERED_CHARS = 500_000, 32
 #: A character without a piece costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
+_NEVER = float("-inf")
 #: Positions between two looks for a common boundary, in lengths of the longest piece.
 _LOOK = 4
 
@@ -48,7 +49,10 @@ class PieceVocabulary:
         self.penalty = min(score for score, _ in self.scores.values()) - UNKNOWN_PENALTY
         # no piece goes on with a mark after another character: a word is then a stretch of its own
         self.splits = not any(MARK in name.lstrip(MARK) for name in self.scores)
-        self.known: dict[str, list[int]] = {}
+        self.prefixes = {name[:n] for name in self.scores for n in range(1, len(name) + 1)}
+        self.surfaces = [name.replace(MARK, " ") for name in self.names]
+        self.byte_ids = set(self.byte_of)
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def _spell(self, char: str) -> list[int]:
         """A character without a piece: its bytes, or the unknown id where there are no byte pieces."""
@@ -58,33 +62,54 @@ class PieceVocabulary:
 
     def viterbi(self, text: str) -> Iterator[list[int]]:
         """Committed ids of ``text`` in order, run by run; ties prefer the longer last piece."""
-        scores, longest = self.scores, self.longest
+        scores, prefixes, penalty = self.scores, self.prefixes, self.penalty
+        size, look = len(text), _LOOK * self.longest
         first = 0  # position of best[0]; everything before it is committed
+        # reachable ends are filled ahead of the reading position, so the window is a look plus a piece wide
         best, back, ids = [0.0], [0], [-1]
-        for end in range(1, len(text) + 1):
-            top, at, own = -np.inf, end - 1, -1
-            for start in range(max(first, end - longest), end):
-                hit = scores.get(text[start:end])
-                if hit is not None and best[start - first] + hit[0] > top:
-                    top, at, own = best[start - first] + hit[0], start, hit[1]
-            if own < 0 or (text[end - 1] not in scores and best[end - 1 - first] + self.penalty > top):
-                top, at, own = best[end - 1 - first] + self.penalty, end - 1, -1
-            best.append(top)
-            back.append(at)
-            ids.append(own)
-            if end - first >= _LOOK * longest:
-                # all positions that a later piece can start from lead back through one boundary
-                fronts = set(range(end - longest + 1, end + 1))
-                while len(fronts) > 1:
-                    last = max(fronts)
-                    fronts.remove(last)
-                    fronts.add(max(first, back[last - first]))
-                meet = fronts.pop()
+        start = 0
+        while start < size:
+            at = start - first
+            here = best[at]
+            if at + 1 == len(best):
+                best.append(_NEVER)
+                back.append(0)
+                ids.append(-1)
+            end = start + 1
+            piece = text[start:end]
+            if piece not in scores and here + penalty > best[at + 1]:
+                best[at + 1], back[at + 1], ids[at + 1] = here + penalty, start, -1
+            while piece in prefixes:
+                hit = scores.get(piece)
+                to = end - first
+                while to >= len(best):
+                    best.append(_NEVER)
+                    back.append(0)
+                    ids.append(-1)
+                if hit is not None and here + hit[0] > best[to]:
+                    best[to], back[to], ids[to] = here + hit[0], start, hit[1]
+                if end >= size:
+                    break
+                end += 1
+                piece = text[start:end]
+            start += 1
+            if start - first >= look:
+                meet = self._meeting(first, start, back, best)
                 if meet > first:
                     yield self._trace(text, first, meet, back, ids)
                     keep = meet - first
                     best, back, ids, first = best[keep:], back[keep:], ids[keep:], meet
-        yield self._trace(text, first, len(text), back, ids)
+        yield self._trace(text, first, size, back, ids)
+
+    @staticmethod
+    def _meeting(first: int, start: int, back: list[int], best: list[float]) -> int:
+        """The boundary through which the paths to all positions from ``start`` on lead."""
+        fronts = {first + i for i in range(start - first, len(best)) if best[i] > _NEVER}
+        while len(fronts) > 1:
+            last = max(fronts)
+            fronts.remove(last)
+            fronts.add(max(first, back[last - first]))
+        return min(fronts.pop(), start)
 
     def _trace(self, text: str, first: int, end: int, back: list[int], ids: list[int]) -> list[int]:
         runs = []
@@ -94,39 +119,45 @@ class PieceVocabulary:
             end = start
         return [i for run in reversed(runs) for i in run]
 
-    def _stretches(self, text: str) -> Iterator[str]:
-        """Parts that no piece reaches across: before a mark that follows another character."""
-        if not self.splits:
-            yield text
-            return
-        pieces = text.split(MARK)
-        marks = 0
-        for i, piece in enumerate(pieces):
-            marks += i > 0
-            if piece:
-                yield MARK * marks + piece
-                marks = 0
-        if marks:
-            yield MARK * marks
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Ids of a mark and a word, which no piece reaches out of."""
+        own = tuple(i for run in self.viterbi(MARK + word) for i in run)
+        if len(word) <= REMEMBERED_CHARS:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = own
+        return own
 
     def encode(self, text: str) -> list[int]:
         """Ids of the whole text; the empty text has none. Spaces become marks, with one more in front."""
-        if not text:
-            return []
         out: list[int] = []
-        for stretch in self._stretches(MARK + text.replace(" ", MARK)):
-            own = self.known.get(stretch)
-            if own is None:
-                own = [i for run in self.viterbi(stretch) for i in run]
-                if len(stretch) <= REMEMBERED_CHARS:
-                    if len(self.known) >= REMEMBERED:
-                        self.known.clear()
-                    self.known[stretch] = own
-            out += own
+        if not text:
+            return out
+        text = text.replace(" ", MARK)
+        if not self.splits:
+            for run in self.viterbi(MARK + text):
+                out += run
+            return out
+        known, marks = self.known.get, 0
+        # a mark after another character starts a stretch that no piece reaches into from before
+        for word in text.split(MARK):
+            if word and not marks:
+                out += known(word) or self._word(word)
+            elif word:
+                for run in self.viterbi(MARK * (marks + 1) + word):
+                    out += run
+                marks = 0
+            else:
+                marks += 1
+        if marks:
+            for run in self.viterbi(MARK * marks):
+                out += run
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
+        if not self.byte_ids.intersection(ids):
+            return "".join(map(self.surfaces.__getitem__, ids))[1:]
         out, pending = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -135,7 +166,7 @@ class PieceVocabulary:
             if pending:
                 out.append(pending.decode("utf-8", "replace"))
                 pending.clear()
-            out.append(self.names[i].replace(MARK, " "))
+            out.append(self.surfaces[i])
         if pending:
             out.append(pending.decode("utf-8", "replace"))
         return "".join(out)[1:]
