@@ -35,7 +35,7 @@ def brute(rows, k=5, every=3):
 
 def test_topk(spark):
     rng = random.Random(4)
-    rows = [(i, [rng.choice([-1, -0.5, 0.25, 1]) * (1 + i % 5) for _ in range(6)], "x") for i in range(150)]
+    rows = [(i, [rng.choice([-1.0, -0.5, 0.25, 1.0]) * (1 + i % 5) for _ in range(6)], "x") for i in range(150)]
     rows += [(200 + i, [0.5] * 6, None) for i in range(40)]
     rows += [(300, None, "a"), (303, [1.0, None], "a"), (306, [float("nan")] * 6, "a"), (309, [float("inf")] * 6, "a")]
     rows += [(312, [], "a"), (315, [1.0, 2.0], "a"), (None, [9.0] * 6, "a"), (318, [0.0] * 6, "a")]
