@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorequery.llm import jaccard, packing, pii, repeats, rules
 from lorequery.llm.catalog import public_encoder
-from lorequery.session import materialize
+from lorequery.session import materialize, tidied
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -53,7 +53,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+
+    @tidied
+    def through(docs: DataFrame) -> DataFrame:
+        for name, stage in STAGES:
+            written = tidied(lambda docs, name=name, stage=stage: materialize(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+            docs = written(docs)
+        return docs
+
+    return through(spark.read.parquet(f"{sf_dir}/documents.parquet"))

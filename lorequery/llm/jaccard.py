@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lorequery.llm.common import free_name, materialize, materialize_texts, running_total
 from lorequery.llm.hashing import hash_ranges, mix
+from lorequery.session import tidied
 
 WORDS = 5
 #: Linked from an intersection of NEAR / OUT_OF of the union.
@@ -226,6 +227,7 @@ def linked_clusters(sets: list[np.ndarray]) -> np.ndarray:
     return union.roots()
 
 
+@tidied
 def components(edges: DataFrame, name: str) -> DataFrame:
     """``node, root``: the smallest node that each node of the edges ``a, b`` is connected to.
 
@@ -297,6 +299,7 @@ def _frequent(scanned: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["gram"] for r in top], dtype=np.int64).view(np.uint64))
 
 
+@tidied
 def _lists(scanned: DataFrame) -> DataFrame:
     """``list, key, members``: the sets that share a prefix n-gram; n-grams with equal lists count once."""
     shared = _routes(scanned).groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high"))
@@ -331,6 +334,7 @@ def _blocks(frame: DataFrame, group: str, total: str, name: str) -> DataFrame:
     return small.unionByName(placed.join(sides, [group, "block"]).select(small.columns))
 
 
+@tidied
 def _candidates(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges ``a, b`` from each set to the smallest set of its candidate cluster in a list."""
     members = lists.join(sets.select("key", "n", "bits"), "key")
@@ -357,6 +361,7 @@ def _candidates(lists: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(dealt.groupBy("bucket", "task").applyInPandas(compare, "a long, b long").distinct(), "candidates")
 
 
+@tidied
 def _exact(clusters: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     """Edges ``a, b`` that connect linked sets, from candidate clusters ``key, root``."""
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
@@ -389,6 +394,19 @@ def _exact(clusters: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     return materialize(tasks.groupBy("root", "task").applyInPandas(decide, "a long, b long").distinct(), "links")
 
 
+@tidied
+def _clusters(scanned: DataFrame, sets: DataFrame) -> DataFrame:
+    found = components(_candidates(_lists(scanned), sets), "clusters")
+    return materialize(found.select(F.col("node").alias("key"), "root"), "clusters")
+
+
+@tidied
+def _links(scanned: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """Edges ``a, b`` that connect linked sets."""
+    return _exact(_clusters(scanned, sets), sets.select("key", "least"), rows)
+
+
+@tidied
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, digest, n_shingles, component_id, stays`` per row of ``docs``.
 
@@ -412,10 +430,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         base.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(place).alias("least")),
         "distinct-sets",
     )
-    candidates = _candidates(_lists(scanned), sets)
-    clusters = components(candidates, "clusters").select(F.col("node").alias("key"), "root")
-    links = _exact(materialize(clusters, "clusters"), sets.select("key", "least"), rows)
-    linked = components(links, "linked").select(F.col("node").alias("key"), "root")
+    linked = components(_links(scanned, sets, rows), "linked").select(F.col("node").alias("key"), "root")
     rooted = materialize(
         base.drop("bits").join(linked, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted"
     )
@@ -430,6 +445,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.unionByName(alone).withColumnRenamed("id", id_col)
 
 
+@tidied
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component and all without n-grams, with the columns of ``docs``, as a written table."""
     marked = materialize(near_duplicates(docs, id_col, text_col), "near-duplicates")

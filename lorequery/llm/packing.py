@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lorequery.llm.common import BATCH_TEXTS, batches_of, materialize, running_total
-from lorequery.session import scratch_path
+from lorequery.session import scratch_path, tidied
 
 SEQUENCE_TOKENS = 1024
 #: Tokens of a window, in which every source gets its share.
@@ -94,6 +94,7 @@ def encode_documents(
     return docs.sparkSession.read.schema(numbered.schema).parquet(path)
 
 
+@tidied
 def schedule(tokens: DataFrame, targets: dict[str, float] | None, window_tokens: int) -> DataFrame:
     """Place of every document in the packed stream: ``row, window, position``.
 
@@ -123,6 +124,7 @@ def schedule(tokens: DataFrame, targets: dict[str, float] | None, window_tokens:
     return stream.select("row", "window", "position")
 
 
+@tidied
 def pack_documents(
     docs: DataFrame,
     encode: BytePairEncoder,

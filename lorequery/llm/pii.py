@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorequery.llm.common import free_name, materialize
+from lorequery.session import tidied
 
 #: Kinds in the order in which they are listed at equal starts.
 KINDS = ["email", "ip", "card", "phone", "context"]
@@ -170,6 +171,7 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
     return patterns, instances
 
 
+@tidied
 def _discovered(matches: DataFrame) -> DataFrame:
     """Spans of identifiers that no base pattern covers: ``row, id, digest, start, end``."""
     occurrences = materialize(_occurrences(matches), "pii-tokens")
@@ -193,6 +195,7 @@ def _discovered(matches: DataFrame) -> DataFrame:
     )
 
 
+@tidied
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, digest, spans`` per input row; ``spans`` is an array of ``start, order, end, kind``.
 
@@ -233,6 +236,7 @@ def count_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+@tidied
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets, overlapping spans by one; same columns.
 

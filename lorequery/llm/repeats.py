@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from lorequery.llm.common import free_name, materialize, materialize_texts
 from lorequery.llm.hashing import hash_ranges, mix
+from lorequery.session import tidied
 
 #: Bytes of a repeated string.
 LENGTH = 100
@@ -278,6 +279,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, tagged: bool) -> DataFram
     )
 
 
+@tidied
 def _open_contexts(places: DataFrame, rows: DataFrame) -> DataFrame:
     """The first places of contexts that share an anchor with others, with their bytes and a bounded group."""
     firsts = places.filter("leads")
@@ -337,6 +339,11 @@ def _settle(contexts: DataFrame) -> DataFrame:
     return found.filter("key is null").select(columns).unionByName(later.select(columns))
 
 
+@tidied
+def _open_spans(places: DataFrame, rows: DataFrame) -> DataFrame:
+    return _settle(_open_contexts(places, rows))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
     """Byte spans that go (``doc, tag, start, end``), and whether tags tell rows of one id apart."""
     ids = docs.select(F.col(id_col).cast("long").alias("doc"))
@@ -359,7 +366,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     followers = placed.filter("not leads").select(
         "doc", "tag", start.alias("start"), (start + count + LENGTH).alias("end")
     )
-    return here.unionByName(followers).unionByName(_settle(_open_contexts(placed, rows))), tagged
+    return here.unionByName(followers).unionByName(_open_spans(placed, rows)), tagged
 
 
 _CUT = T.StructType(
@@ -397,6 +404,7 @@ def _with_cut(docs: DataFrame, id_col: str, text_col: str, out: str) -> DataFram
     return joined.withColumn(out, _cut(F.col(text_col), F.col(starts), F.col(ends))).drop(*names)
 
 
+@tidied
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_bytes, n_removed, n_spans, kept_sha256, kept`` per row.
 
@@ -409,6 +417,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return materialize_texts(cut.select(id_col, "cut.*"), "kept")
 
 
+@tidied
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the kept text in place of each text, same columns, as a written table.
 

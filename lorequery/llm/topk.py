@@ -19,14 +19,15 @@ from pyspark.sql import functions as F
 
 from lorequery.llm.common import batches_of, materialize
 from lorequery.operators.ranking import top_k
+from lorequery.session import tidied
 
 #: Values in a packed block of candidates, and the share of it that a block of queries takes.
 BLOCK_VALUES = 1 << 16
 QUERY_SHARE = 4
 #: Share of the rotated coordinates in the partial sums.
 HEAD_SHARE = 4
-#: Squared lengths beyond this could give scores that a long cannot hold.
-MAX_SQUARE = float(1 << 62)
+#: Squared lengths from here on could give scores that a long cannot hold; the distance to 2^63 covers rounding.
+MAX_SQUARE = float((1 << 63) - (1 << 30))
 _EXACT = float(1 << 52)
 
 
@@ -148,6 +149,7 @@ def _first_rows(scores: np.ndarray, ids: np.ndarray, held: np.ndarray, k: int) -
     return flat_ids[best], flat_scores[best]
 
 
+@tidied
 def largest_products(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """The k candidates with the largest inner product per query: ``query_id, rank, vec_id, score``.
 

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import ContextVar, copy_context
+from functools import wraps
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch paths handed out inside the innermost ``tidied`` call.
+_handed_out: ContextVar[list[str] | None] = ContextVar("handed_out", default=None)
+
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the session's checkpoint directory.
@@ -20,7 +26,8 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="run-")
     spark.sparkContext.setCheckpointDir(root)
@@ -29,7 +36,44 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the scratch folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    handed_out = _handed_out.get()
+    if handed_out is not None:
+        handed_out.append(path)
+    return path
+
+
+def delete_tables(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete the folders that exist."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+def tidied(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Delete the scratch tables of a call that its result does not read.
+
+    For functions of a DataFrame that return one. Tables that the result reads stay; an enclosing
+    tidied call deletes them when its own result can do without. A call that fails leaves none.
+    """
+
+    @wraps(function)
+    def call(df: DataFrame, *args: Any, **kwargs: Any) -> DataFrame:
+        outer, own, needed = _handed_out.get(), [], []
+        mark = _handed_out.set(own)
+        try:
+            result = function(df, *args, **kwargs)
+            read = {part for file in result.inputFiles() for part in file.split("/")}
+            needed = [path for path in own if path.rsplit("/", 1)[-1] in read]
+        finally:
+            _handed_out.reset(mark)
+            delete_tables(df.sparkSession, [path for path in own if path not in needed])
+        if outer is not None:
+            outer.extend(needed)
+        return result
+
+    return call
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -39,7 +83,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the next join the true size of its input.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -60,6 +104,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def side_by_side(*jobs: Callable[[], Any]) -> list[Any]:
-    """Run independent chains of Spark jobs at the same time."""
+    """Run independent chains of Spark jobs at the same time, in the job group of the caller."""
     with ThreadPoolExecutor(len(jobs)) as pool:
-        return [f.result() for f in [pool.submit(job) for job in jobs]]
+        running = [pool.submit(copy_context().run, inheritable_thread_target(job)) for job in jobs]
+        return [f.result() for f in running]
