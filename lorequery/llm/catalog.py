@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequery.llm import jaccard, langid, packing, pieces, pii, quality, repeats, rules, sharding, topk
+from lorequery.llm import decontaminate, jaccard, langid, packing, pieces, pii, quality, repeats, rules, sharding, topk
 from lorequery.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,19 @@ def op10_pii(spark, sf_dir):
     )
 
 
+def op12_decontaminate(spark, sf_dir):
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_topk": op1_topk,
     "op2_langid": op2_langid,
@@ -98,4 +111,5 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_repeats": op9_repeats,
     "op10_pii": op10_pii,
+    "op12_decontaminate": op12_decontaminate,
 }

@@ -51,7 +51,55 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM based
 """
 
+_TEXT = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+_DECONTAMINATE = f"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all({_TEXT}, '{_LETTERS}') AS w FROM documents
+), item_words AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_TEXT}, '{_LETTERS}') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(len(w), 10) AS n FROM item_words WHERE len(w) > 0))
+), starts AS (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+  FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n
+), occurrences AS (
+  SELECT doc_id, i, s.n, item FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM starts) s
+  JOIN windows USING (n, phrase)
+), hits AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM occurrences) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM occurrences) GROUP BY doc_id
+), tokens AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS term FROM docs
+), counts AS (
+  SELECT term, count(*) AS n FROM tokens GROUP BY term
+), rarest AS (
+  SELECT item, term, place, count(*) OVER (PARTITION BY item) AS asked FROM (
+    SELECT item, term, row_number() OVER (PARTITION BY item ORDER BY n, term) AS place
+    FROM (SELECT DISTINCT item, unnest(w) AS term FROM item_words) JOIN counts USING (term)
+  ) WHERE place <= 3
+), seen AS (
+  SELECT doc_id, item, asked, pos,
+    max(CASE WHEN place = 1 THEN pos END) OVER before AS a,
+    max(CASE WHEN place = 2 THEN pos END) OVER before AS b,
+    max(CASE WHEN place = 3 OR asked = 2 THEN pos END) OVER before AS c
+  FROM tokens JOIN rarest USING (term) WHERE asked > 1
+  WINDOW before AS (PARTITION BY doc_id, item ORDER BY pos)
+), near AS (
+  SELECT doc_id, count(DISTINCT item) AS n_near FROM seen WHERE pos - a < 20 AND pos - b < 20 AND pos - c < 20 GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
     "op1_topk": _TOPK,
     "op7_rules": _RULES,
+    "op12_decontaminate": _DECONTAMINATE,
 }
