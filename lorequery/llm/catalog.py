@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequery.llm import decontaminate, jaccard, langid, packing, pieces, pii, quality, repeats, rules, sharding, topk
+from lorequery.llm import (
+    collocations,
+    decontaminate,
+    jaccard,
+    langid,
+    negatives,
+    packing,
+    pieces,
+    pii,
+    quality,
+    repeats,
+    rules,
+    sharding,
+    topk,
+)
 from lorequery.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +101,11 @@ def op10_pii(spark, sf_dir):
     )
 
 
+def op11_collocations(spark, sf_dir):
+    """The first 2000 collocations of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_decontaminate(spark, sf_dir):
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -100,6 +119,15 @@ def op12_decontaminate(spark, sf_dir):
     )
 
 
+def op13_negatives(spark, sf_dir):
+    """Hard negatives of every hundredth vector; every seventh label is moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), moved.alias("label"), topk.quantize(F.col("embedding"), 256).alias("vector")
+    )
+    return negatives.hard_negatives(vectors, vectors.filter("id % 100 = 0"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_topk": op1_topk,
     "op2_langid": op2_langid,
@@ -111,5 +139,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_repeats": op9_repeats,
     "op10_pii": op10_pii,
+    "op11_collocations": op11_collocations,
     "op12_decontaminate": op12_decontaminate,
+    "op13_negatives": op13_negatives,
 }

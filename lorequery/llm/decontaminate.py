@@ -25,8 +25,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Rarest terms of an item that must stand together, and the words of the span that holds them.
 NEAR_TERMS, NEAR_SPAN = 3, 20
-#: Rows of test terms or windows that are broadcast, of under 100 bytes each; more are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes of test terms or windows that are broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 
 #: Characters that both kinds of lower case leave as they are.
 _PLAIN = r"[^\x00-\x7F\p{Ll}\p{Lo}\p{M}\p{P}\p{Z}]"
@@ -50,8 +50,12 @@ class PositionalIndex:
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    """Broadcast a written table of few rows; a larger one is left to a shuffle join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """Broadcast a small written table, by the bytes of its rows; a larger one is left to a shuffle join."""
+    row = F.lit(8 * len(df.columns) + 32)
+    for column, kind in df.dtypes:
+        if kind == "string":
+            row = row + F.octet_length(column)
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def build_index(docs: DataFrame, terms: DataFrame | None, id_col: str, text_col: str) -> PositionalIndex:
@@ -93,9 +97,10 @@ def item_windows(words: DataFrame, size: int) -> DataFrame:
 @tidied
 def _starts(postings: DataFrame, lookups: DataFrame) -> DataFrame:
     """``row, start, window`` where the two rarest terms of a window stand at their offsets."""
+    rarest, next_one = F.get("lists", F.lit(0)), F.get("lists", F.lit(1))
     first = lookups.select(
-        "window", F.col("lists")[0]["number"].alias("number"), F.col("lists")[0]["offset"].alias("offset"),
-        F.col("lists")[1]["number"].alias("second"), F.col("lists")[1]["offset"].alias("ahead"),
+        "window", rarest["number"].alias("number"), rarest["offset"].alias("offset"),
+        next_one["number"].alias("second"), next_one["offset"].alias("ahead"),
     )
     found = (
         postings.join(_bounded(materialize(first, "rarest")), "number")
