@@ -29,6 +29,8 @@ SEQUENCE_TOKENS = 1024
 #: Tokens of a window, in which every source gets its share.
 WINDOW_TOKENS = 64 * SEQUENCE_TOKENS
 END_ID = 0
+#: Window of the sources that no window has a share for.
+LAST_WINDOW = 1 << 62
 #: Longest text for the rank-file encoder; longer ones go to the slower one, whose stack use is constant.
 _FAST_CHARS = 1 << 20
 
@@ -56,6 +58,10 @@ class BytePairEncoder:
     def __init__(self, json_path: str, ranks_path: str, pattern: str) -> None:
         self.json_path, self.ranks_path, self.pattern = json_path, ranks_path, pattern
 
+    def id_type(self) -> str:
+        """Little-endian type that holds every id of the vocabulary."""
+        return "<u2" if _encoder(self.json_path).get_vocab_size() <= 1 << 16 else "<u4"
+
     def __call__(self, text: str) -> list[int]:
         if len(text) > _FAST_CHARS:
             return _encoder(self.json_path).encode(text, add_special_tokens=False).ids
@@ -65,19 +71,18 @@ class BytePairEncoder:
 def encode_documents(
     docs: DataFrame, encode: BytePairEncoder, id_col: str, text_col: str, source_col: str
 ) -> DataFrame:
-    """A written table ``row, id, source, n_tokens, ids``: little-endian 16-bit ids, the end id last."""
+    """A written table ``row, id, source, n_tokens, ids``: ids of the encoder's type, the end id last."""
+    id_type = encode.id_type()
 
     def tokens(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            ids = [np.array([*encode(text or ""), END_ID], dtype=np.int64) for text in part["text"]]
-            if any(len(own) and own.max() >= 1 << 16 for own in ids):
-                raise ValueError("token ids do not fit 16 bits")
+            ids = [np.array([*encode(text or ""), END_ID], dtype=id_type) for text in part["text"]]
             yield pd.DataFrame(
                 {
                     "id": part["id"],
                     "source": part["source"],
                     "n_tokens": [len(own) for own in ids],
-                    "ids": [own.astype("<u2").tobytes() for own in ids],
+                    "ids": [own.tobytes() for own in ids],
                 }
             )
 
@@ -100,7 +105,7 @@ def schedule(tokens: DataFrame, targets: dict[str, float] | None, window_tokens:
 
     ``targets`` are weights by source, whatever their sum; sources without one share
     like their tokens do. Without targets every window has the proportions of the corpus.
-    Once a queue is empty the others go on.
+    Once a queue is empty the others go on; a queue of weight 0 comes after all others.
     """
     narrow = tokens.select("row", "id", "source", "n_tokens")
     sums = narrow.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
@@ -115,7 +120,10 @@ def schedule(tokens: DataFrame, targets: dict[str, float] | None, window_tokens:
         "source",
         "n_tokens",
         "served",
-        F.ceil((F.col("served") + F.col("n_tokens")) / F.col("quantum")).cast("long").alias("window"),
+        F.when(F.col("quantum") > 0, F.ceil((F.col("served") + F.col("n_tokens")) / F.nullif("quantum", F.lit(0.0))))
+        .otherwise(F.lit(LAST_WINDOW))
+        .cast("long")
+        .alias("window"),
     )
     placed = materialize(placed, "windows")
     stream = running_total(
@@ -144,13 +152,14 @@ def pack_documents(
     """
     tokens = encode_documents(docs, encode, id_col, text_col, source_col)
     plan = schedule(tokens, targets, window_tokens)
+    id_type = encode.id_type()
     kind = dict(tokens.dtypes)["id"]
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for doc in part.itertuples(index=False):
-                ids = np.frombuffer(doc.ids, dtype="<u2").astype("<u4")
+                ids = np.frombuffer(doc.ids, dtype=id_type).astype("<u4")
                 start = 0
                 while start < len(ids):
                     at = doc.position + start
@@ -166,7 +175,8 @@ def pack_documents(
 
     columns = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "source"]
     schema = f"id {kind}, " + ", ".join(f"{c} long" for c in columns[1:-1]) + ", source string"
-    joined = tokens.join(plan, "row").select("id", "ids", "position", "window", "source")
+    # one plan at every size: a broadcast would end where the schedule outgrows it
+    joined = tokens.join(plan.hint("merge"), "row").select("id", "ids", "position", "window", "source")
     with batches_of(docs.sparkSession, BATCH_TEXTS):
         pieces = materialize(joined.mapInPandas(cut, schema), "pieces")
     return pieces.withColumnRenamed("id", id_col)
