@@ -36,7 +36,7 @@ _MASK = np.uint64((1 << _BITS) - 1)
 
 
 
-#: Contexts that one index holds, about; an anchor with more of them is dealt to several.
+#: Contexts that one index holds, about; those of an anchor with more of them are split by what stands beside it.
 GROUP = 1000
 _NO_ID = -(1 << 63)
 
@@ -279,13 +279,78 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, tagged: bool) -> DataFram
     )
 
 
-@tidied
+#: Bytes of a string beside its anchor.
+_BESIDE = LENGTH - GRAM
+
+
+def _halves(contexts: DataFrame) -> DataFrame:
+    """Contexts cut in two: the strings with many bytes before the anchor, and those with few.
+
+    Strings whose anchor stands at offsets ``low`` to ``high`` share ``low`` bytes before it and
+    _BESIDE - ``high`` after it, so equal strings have equal ``side`` bytes, and each half compares only
+    the contexts that have them in common. Half a context is a context of fewer strings.
+    """
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    ranges = F.explode(F.array(F.struct(F.col("low").alias("l"), middle.alias("h")), F.struct((middle + 1).alias("l"), F.col("high").alias("h"))))
+    cut = contexts.withColumn("range", ranges).withColumns(
+        {
+            "i": F.greatest(F.col("offset") - F.col("range.h"), F.lit(0)),
+            "j": F.least(F.col("offset") - F.col("range.l"), F.length("bytes") - LENGTH),
+        }
+    )
+    cut = cut.filter("i <= j").select(
+        "doc", "tag", "anchor",
+        (F.col("first") + F.col("i")).alias("first"),
+        (F.col("offset") - F.col("i")).alias("offset"),
+        F.col("range.l").alias("low"),
+        F.col("range.h").alias("high"),
+        F.substring("bytes", F.col("i") + 1, F.col("j") - F.col("i") + LENGTH).alias("bytes"),
+    )
+    before = F.substring("bytes", F.col("offset") - F.col("low") + 1, F.col("low"))
+    after = F.substring("bytes", F.col("offset") + GRAM + 1, _BESIDE - F.col("high"))
+    return cut.withColumn("side", F.md5(F.concat(before, after)))
+
+
+def _deal_hot(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split the contexts of anchors with more than GROUP of them until those that can hold equal strings are fewer.
+
+    Gives the spans of halves that are equal to an earlier one, and the other halves with the group
+    that settles them. The last halves hold a single string, so that no group stays too large.
+    """
+    spot = F.struct("doc", "tag", "first")
+    group = ["anchor", "low", "high", "side"]
+    spans, settled = [], []
+    while True:
+        halves = materialize(_halves(contexts), "half-contexts")
+        heads = halves.groupBy(*group, "offset", "bytes").agg(F.min(spot).alias("head"))
+        led = materialize(
+            halves.join(heads, [*group, "offset", "bytes"]).withColumn("leads", spot == F.col("head")).drop("head"), "half-leaders"
+        )
+        followers = led.filter("not leads")
+        spans.append(
+            followers.select("doc", "tag", F.col("first").alias("start"), (F.col("first") + F.length("bytes")).alias("end"))
+        )
+        leaders = led.filter("leads").drop("leads")
+        sizes = leaders.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+        sized = materialize(leaders.join(sizes.filter("n > 1"), group), "half-groups")
+        settled.append(sized.filter(F.col("n") <= GROUP))
+        contexts = sized.filter(F.col("n") > GROUP).select("doc", "tag", "anchor", "first", "offset", "low", "high", "bytes")
+        if contexts.limit(1).isEmpty():
+            break
+    together = settled[0]
+    for own in settled[1:]:
+        together = together.unionByName(own)
+    every = spans[0]
+    for own in spans[1:]:
+        every = every.unionByName(own)
+    return every, together.select("doc", "tag", "first", "bytes", F.xxhash64(*group).alias("group"))
+
+
 def _open_contexts(places: DataFrame, rows: DataFrame) -> DataFrame:
-    """The first places of contexts that share an anchor with others, with their bytes and a bounded group."""
+    """The first places of contexts that share an anchor with others, ``n`` of them, with their bytes."""
     firsts = places.filter("leads")
     shared = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     details = materialize(firsts.join(shared, "anchor").select("doc", "tag", "anchor", "place", "n"), "open-places")
-    groups = details.count() // GROUP + 1
     by_doc = details.groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "place", "n")).alias("places"))
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,53 +360,40 @@ def _open_contexts(places: DataFrame, rows: DataFrame) -> DataFrame:
                 data = row.text.encode("utf-8", "surrogatepass")
                 for place in row.places:
                     first = place["place"] >> _PLACE
-                    count = (place["place"] >> (_PLACE // 2)) & 127
-                    out.append((row.doc, row.tag, place["anchor"], first, place["n"], data[first : first + count + LENGTH]))
-            yield pd.DataFrame(out, columns=["doc", "tag", "anchor", "first", "n", "bytes"])
+                    count, offset = (place["place"] >> (_PLACE // 2)) & 127, place["place"] & 127
+                    out.append((row.doc, row.tag, place["anchor"], first, offset, place["n"], data[first : first + count + LENGTH]))
+            yield pd.DataFrame(out, columns=["doc", "tag", "anchor", "first", "offset", "n", "bytes"])
 
-    cuts = (
-        rows.join(by_doc, ["doc", "tag"])
-        .mapInPandas(cut, "doc long, tag long, anchor long, first long, n long, bytes binary")
+    cuts = rows.join(by_doc, ["doc", "tag"]).mapInPandas(
+        cut, "doc long, tag long, anchor long, first long, offset int, n long, bytes binary"
     )
-    hot = F.col("n") > GROUP
-    part = F.when(hot, F.pmod(F.xxhash64("doc", "tag", "first"), F.ceil(F.col("n") / GROUP))).otherwise(F.lit(0))
-    bucket = F.when(hot, F.col("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(groups)))
-    dealt = cuts.select("doc", "tag", "first", "bytes", hot.alias("hot"), bucket.alias("bucket"), part.alias("part"))
-    return materialize_texts(dealt, "open-contexts")
-
-
-def _settle(contexts: DataFrame) -> DataFrame:
-    """Spans of the open contexts that also start earlier: ``doc, tag, start, end``."""
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc", "tag", "first"], ignore_index=True)
-        out = []
-        for row, flags in zip(group.itertuples(index=False), _repeated_starts(list(group["bytes"])), strict=True):
-            out += [(row.doc, row.tag, first, end, None) for first, end in _spans(flags, row.first)]
-            if row.hot:
-                # the first of its kind here; other groups of the anchor may have an earlier one
-                for i in np.flatnonzero(~flags):
-                    key = hashlib.blake2b(row.bytes[i : i + LENGTH], digest_size=16).digest()
-                    out.append((row.doc, row.tag, row.first + i, row.first + i + LENGTH, key))
-        return pd.DataFrame(out, columns=["doc", "tag", "start", "end", "key"])
-
-    found = materialize(
-        contexts.groupBy("hot", "bucket", "part").applyInPandas(
-            settle, "doc long, tag long, start long, end long, key binary"
-        ),
-        "open-spans",
-    )
-    place = F.struct("doc", "tag", "start")
-    heads = found.filter("key is not null")
-    first = heads.groupBy("key").agg(F.min(place).alias("head"))
-    later = heads.join(first, "key").filter(place != F.col("head"))
-    columns = ["doc", "tag", "start", "end"]
-    return found.filter("key is null").select(columns).unionByName(later.select(columns))
+    return materialize_texts(cuts, "open-contexts")
 
 
 @tidied
 def _open_spans(places: DataFrame, rows: DataFrame) -> DataFrame:
-    return _settle(_open_contexts(places, rows))
+    """Spans of the open contexts that also start earlier: ``doc, tag, start, end``."""
+
+    def settle(bucket: pd.DataFrame) -> pd.DataFrame:
+        bucket, out = bucket.sort_values(["doc", "tag", "first"], ignore_index=True), []
+        for row, flags in zip(bucket.itertuples(index=False), _repeated_starts(list(bucket["bytes"])), strict=True):
+            out += [(row.doc, row.tag, first, end) for first, end in _spans(flags, row.first)]
+        return pd.DataFrame(out, columns=["doc", "tag", "start", "end"])
+
+    contexts = _open_contexts(places, rows)
+    few = contexts.filter(F.col("n") <= GROUP).select("doc", "tag", "first", "bytes", F.col("anchor").alias("group"))
+    hot = contexts.filter(F.col("n") > GROUP).drop("n").withColumns({"low": F.lit(0), "high": F.lit(_BESIDE)})
+    spans = []
+    if not hot.limit(1).isEmpty():
+        same, dealt = _deal_hot(hot)
+        spans, few = [same], few.unionByName(dealt)
+    # groups are settled together in buckets of about GROUP contexts
+    buckets = few.count() // GROUP + 1
+    bucket = F.pmod(F.xxhash64("group"), F.lit(buckets))
+    found = few.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(settle, "doc long, tag long, start long, end long")
+    for own in spans:
+        found = found.unionByName(own)
+    return materialize(found, "open-spans")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
