@@ -15,14 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lorequery.operators.ranking import top_k
-from lorequery.session import materialize
-from lorequery.sources.tables import require_columns, write_once
+from lorequery.session import delete_tables, materialize
+from lorequery.sources.tables import require_columns
+from lorequery.sources.versions import commit, new_segment, read_version, segment_tables, united
 
 CELL_ROWS = 4096
 MAX_CELLS = 4096
@@ -37,12 +38,13 @@ _MARGIN = 2e-6
 
 @dataclass(frozen=True)
 class VectorIndex:
-    vectors: DataFrame  # doc_pos, embedding
-    points: DataFrame  # vec_id (lowest position of equal vectors), embedding, n_copies, cell, radius
+    vectors: DataFrame  # doc_pos, embedding, segment
+    points: DataFrame  # vec_id (lowest position of equal vectors of a segment), embedding, n_copies, cell, radius, segment
     cells: DataFrame  # cell, pivot, size, near, far
     n_vectors: int
     n_points: int
     n_cells: int
+    version: int
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -86,61 +88,96 @@ def build_vector_index(
     overwrite: bool = False,
     cell_rows: int = CELL_ROWS,
 ) -> VectorIndex:
-    """Write the search tables that are missing under ``path`` and open them."""
+    """Write the search tables under ``path`` unless they are there, and open them.
+
+    An index that is there keeps the cells it was built with, whatever ``cell_rows``. With
+    ``overwrite`` the new tables are written beside the old ones.
+    """
     require_columns(vectors, id_col, "embedding")
     spark = vectors.sparkSession
-
-    def kept() -> DataFrame:
-        return vectors.select(F.col(id_col).cast("long").alias("doc_pos"), "embedding").filter(
-            "embedding is not null"
-        )
-
-    fresh = write_once(spark, f"{path}/vectors", kept, overwrite)
-    vectors_t = spark.read.parquet(f"{path}/vectors")
-
-    def distinct() -> DataFrame:
-        return vectors_t.groupBy("embedding").agg(
-            F.min("doc_pos").alias("vec_id"), F.count(F.lit(1)).alias("n_copies")
-        )
-
-    fresh |= write_once(spark, f"{path}/distinct", distinct, overwrite or fresh)
-    distinct_t = spark.read.parquet(f"{path}/distinct")
-    n_points, n_vectors = distinct_t.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_copies"), F.lit(0))).first()
-    n_cells = min(MAX_CELLS, max(1, -(-n_points // cell_rows)))
-
-    def pivots() -> DataFrame:
+    held = read_version(spark, path)
+    if held is None or overwrite:
+        folder = new_segment()
+        distinct_t = _write_vectors(vectors, f"{path}/{folder}", id_col)
+        n_cells = min(MAX_CELLS, max(1, -(-distinct_t.count() // cell_rows)))
         # at most MAX_CELLS vectors, picked by a hash of their id
         chosen = distinct_t.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_cells).select("embedding").collect()
         rows = [(i, [float(x) for x in row["embedding"]]) for i, row in enumerate(chosen)]
-        return spark.createDataFrame(rows, "cell int, pivot array<double>")
+        spark.createDataFrame(rows, "cell int, pivot array<double>").write.parquet(f"{path}/{folder}/pivots")
+        segment = _write_points(distinct_t, path, folder, n_cells, f"{folder}/pivots")
+        content = {"n_cells": n_cells, "cell_rows": cell_rows, "pivots": f"{folder}/pivots", "segments": [segment]}
+        commit(spark, path, content, held["version"] if held else 0)
+    return open_vector_index(spark, path)
 
-    fresh |= write_once(spark, f"{path}/pivots", pivots, overwrite or fresh)
-    pivots_t = spark.read.parquet(f"{path}/pivots")
 
-    def points() -> DataFrame:
-        if n_cells == 1:
-            return distinct_t.withColumns({"cell": F.lit(0), "radius": F.lit(0.0)})
-        centres = np.array([row["pivot"] for row in pivots_t.orderBy("cell").collect()])
-        schema = StructType([*distinct_t.schema.fields]).add("cell", "integer").add("radius", "double")
-        return distinct_t.mapInArrow(_assign(centres), schema)
+def add_vectors(vectors: DataFrame, path: str, id_col: str = "doc_pos") -> VectorIndex:
+    """Add the vectors with new ids as a segment, in the cells that are there; no old file changes."""
+    require_columns(vectors, id_col, "embedding")
+    spark = vectors.sparkSession
+    held = read_version(spark, path)
+    known = open_vector_index(spark, path, held["version"]).vectors.select(F.col("doc_pos").alias(id_col))
+    folder = new_segment()
+    distinct_t = _write_vectors(vectors.join(known, id_col, "left_anti"), f"{path}/{folder}", id_col)
+    segment = _write_points(distinct_t, path, folder, held["n_cells"], held["pivots"])
+    if segment["n_points"]:
+        commit(spark, path, {**held, "segments": [*held["segments"], segment]}, held["version"])
+    return open_vector_index(spark, path)
+
+
+def _write_vectors(vectors: DataFrame, folder: str, id_col: str) -> DataFrame:
+    """Write the vectors of a segment, once per id, and the distinct ones among them."""
+    spark = vectors.sparkSession
+    kept = vectors.select(F.col(id_col).cast("long").alias("doc_pos"), "embedding").filter("embedding is not null")
+    kept.write.parquet(f"{folder}/vectors")
+    distinct = (
+        spark.read.parquet(f"{folder}/vectors")
+        .groupBy("embedding")
+        .agg(F.min("doc_pos").alias("vec_id"), F.count(F.lit(1)).alias("n_copies"))
+    )
+    distinct.write.parquet(f"{folder}/distinct")
+    return spark.read.parquet(f"{folder}/distinct")
 
-    fresh |= write_once(spark, f"{path}/points", points, overwrite or fresh)
-    points_t = spark.read.parquet(f"{path}/points")
 
-    def cells() -> DataFrame:
-        sizes = points_t.groupBy("cell").agg(
-            F.count(F.lit(1)).alias("size"), F.min("radius").alias("near"), F.max("radius").alias("far")
-        )
-        return sizes.join(pivots_t, "cell")
-
-    write_once(spark, f"{path}/cells", cells, overwrite or fresh)
+def _write_points(distinct_t: DataFrame, path: str, folder: str, n_cells: int, pivots: str) -> dict:
+    """Assign the distinct vectors of a segment to their cells; the segment's entry."""
+    spark = distinct_t.sparkSession
+    if n_cells == 1:
+        points = distinct_t.withColumns({"cell": F.lit(0), "radius": F.lit(0.0)})
+    else:
+        # at most MAX_CELLS rows
+        centres = np.array([row["pivot"] for row in spark.read.parquet(f"{path}/{pivots}").orderBy("cell").collect()])
+        schema = StructType([*distinct_t.schema.fields]).add("cell", "integer").add("radius", "double")
+        points = distinct_t.mapInArrow(_assign(centres), schema)
+    points.write.parquet(f"{path}/{folder}/points")
+    delete_tables(spark, [f"{path}/{folder}/distinct"])
+    points_t = spark.read.parquet(f"{path}/{folder}/points")
+    points_t.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("size"), F.min("radius").alias("near"), F.max("radius").alias("far")
+    ).write.parquet(f"{path}/{folder}/cells")
+    n_points, n_vectors = points_t.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_copies"), F.lit(0))).first()
+    return {"folder": folder, "n_points": n_points, "n_vectors": n_vectors}
+
+
+def open_vector_index(spark: SparkSession, path: str, version: int | None = None) -> VectorIndex:
+    """Open the newest version or the given one, as it was built."""
+    held = read_version(spark, path, version)
+    segments = held["segments"]
+
+    def tables(name: str) -> DataFrame:
+        frames = segment_tables(spark, path, segments, name)
+        return united([frame.withColumn("segment", F.lit(i)) for i, frame in enumerate(frames)])
+
+    cells = tables("cells").drop("segment")
+    if len(segments) > 1:
+        cells = cells.groupBy("cell").agg(F.sum("size").alias("size"), F.min("near").alias("near"), F.max("far").alias("far"))
     return VectorIndex(
-        vectors=vectors_t,
-        points=points_t,
-        cells=spark.read.parquet(f"{path}/cells"),
-        n_vectors=n_vectors,
-        n_points=n_points,
-        n_cells=n_cells,
+        vectors=tables("vectors"),
+        points=tables("points"),
+        cells=cells.join(spark.read.parquet(f"{path}/{held['pivots']}"), "cell", "left"),
+        n_vectors=sum(s["n_vectors"] for s in segments),
+        n_points=sum(s["n_points"] for s in segments),
+        n_cells=held["n_cells"],
+        version=held["version"],
     )
 
 
@@ -281,16 +318,17 @@ def _with_copies(index: VectorIndex, best: DataFrame, k: int) -> DataFrame:
     """From distinct vectors to positions: the k lowest positions of each vector."""
     if index.n_points == index.n_vectors:
         return best.withColumnRenamed("vec_id", "doc_pos")
-    named = best.join(
-        index.points.filter("n_copies > 1").select("vec_id", F.col("embedding").alias("shared")), "vec_id", "left"
-    )
+    # copies are told apart by segment: a vector of two segments has a point in each
+    keys = ["segment", "shared"]
+    repeated = index.points.filter("n_copies > 1").select("vec_id", "segment", F.col("embedding").alias("shared"))
+    named = best.join(repeated, "vec_id", "left")
     single = named.filter("shared is null").select("ask", F.col("vec_id").alias("doc_pos"), "units")
-    many = named.filter("shared is not null").select("ask", "shared", "units")
-    copies = index.vectors.select(F.col("embedding").alias("shared"), "doc_pos").join(
-        many.select("shared").distinct(), "shared", "left_semi"
+    many = named.filter("shared is not null").select("ask", *keys, "units")
+    copies = index.vectors.select("segment", F.col("embedding").alias("shared"), "doc_pos").join(
+        many.select(*keys).distinct(), keys, "left_semi"
     )
-    copies = top_k(copies, k, "shared", [F.asc("doc_pos")]).drop("rank")
-    return single.unionByName(many.join(copies, "shared").select("ask", "doc_pos", "units"))
+    copies = top_k(copies, k, keys, [F.asc("doc_pos")]).drop("rank")
+    return single.unionByName(many.join(copies, keys).select("ask", "doc_pos", "units"))
 
 
 def dense_search(

@@ -14,13 +14,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorequery.functions.text import tokens
 from lorequery.operators.ranking import number_rows, top_k
 from lorequery.session import materialize, side_by_side, spread
-from lorequery.sources.tables import write_once
+from lorequery.sources.versions import commit, new_segment, read_version, segment_tables, united
 
 # Parameters of the scoring formula, and the places scores are rounded to
 # before they are ranked.
@@ -40,7 +40,8 @@ POSTINGS_PER_BUCKET = 64_000_000
 MAX_BUCKETS = 4096
 POSTINGS_PER_SALT = 1_000_000
 MAX_SALTED_TERMS = 10_000
-MAX_TOP_K = 100_000
+# So many top positions are broadcast; more are joined by shuffle.
+BROADCAST_POSITIONS = 200_000
 # Up to this many posting hits one plain join and aggregate is cheaper than pruning.
 DIRECT_HITS = 50_000_000
 
@@ -118,11 +119,11 @@ def _gain(tf: Column, dl: Column, avgdl: float) -> Column:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Index tables. A text is a group of documents with equal tokens, named by its highest position."""
+    """Index tables. A text is a group of documents of a segment with equal tokens, named by its highest position."""
 
-    docs: DataFrame  # doc_pos, digest, dl
-    positions: DataFrame  # doc_pos, from_top (0 for the highest position)
-    texts: DataFrame  # text_id, digest, n_copies, dl
+    docs: DataFrame  # doc_pos, digest, dl, segment
+    positions: DataFrame  # doc_pos, from_top (0 for the highest position of the segment), segment
+    texts: DataFrame  # text_id, digest, n_copies, dl, segment
     postings: DataFrame  # term_bucket, term, text_id, tf, dl, gain
     terms: DataFrame  # term_bucket, term, df, n_texts, idf, max_gain, champions
     n_docs: int
@@ -132,6 +133,8 @@ class LexicalIndex:
     floor: float
     longest_list: int
     n_postings: int
+    segment_docs: tuple[int, ...]
+    version: int
 
     @property
     def weights_may_be_negative(self) -> bool:
@@ -142,78 +145,124 @@ def _bucket(term: Column, n_buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(n_buckets)).cast("int")
 
 
-def _build_postings(source: DataFrame, docs_t: DataFrame, path: str, overwrite: bool):
-    """Texts, postings and terms, with the corpus figures they rest on."""
-    spark = source.sparkSession
+def _write_segment(source: DataFrame, folder: str, n_buckets: int | None, before: dict | None) -> dict:
+    """Write the tables of a segment: ``docs``, ``positions``, ``texts``, ``postings``, ``terms``; its entry.
 
-    def texts() -> DataFrame:
-        return docs_t.groupBy("digest").agg(
+    ``before`` has the document and token counts of the other segments. Scores depend on
+    figures of the whole corpus, so they are not stored; a term keeps its largest gain at
+    the mean length of this moment, from which a bound for any other mean length follows.
+    """
+    spark = source.sparkSession
+    source.select(
+        "doc_pos",
+        F.sha2(F.array_join("tokens", " "), 256).alias("digest"),
+        F.size("tokens").cast("long").alias("dl"),
+    ).write.parquet(f"{folder}/docs")
+    docs_t = spark.read.parquet(f"{folder}/docs")
+
+    def positions() -> None:
+        numbered = number_rows(docs_t.select("doc_pos"), [F.col("doc_pos").desc()], "positions", "from_top")
+        numbered.write.parquet(f"{folder}/positions")
+
+    def texts() -> dict:
+        docs_t.groupBy("digest").agg(
             F.max("doc_pos").alias("text_id"), F.count(F.lit(1)).alias("n_copies"), F.max("dl").alias("dl")
+        ).write.parquet(f"{folder}/texts")
+        texts_t = spark.read.parquet(f"{folder}/texts")
+        n_texts, n_docs, n_tokens = texts_t.agg(
+            F.count(F.lit(1)),
+            F.coalesce(F.sum("n_copies"), F.lit(0)),
+            F.coalesce(F.sum(F.col("dl") * F.col("n_copies")), F.lit(0)),
+        ).first()
+        buckets = n_buckets or min(MAX_BUCKETS, max(1, -(-n_tokens // POSTINGS_PER_BUCKET)))
+        all_docs = n_docs + (before["n_docs"] if before else 0)
+        avgdl = (n_tokens + (before["n_tokens"] if before else 0)) / all_docs if all_docs else 0.0
+        _write_postings(source, texts_t, folder, n_texts == n_docs, buckets, by_bucket=before is None)
+        _write_terms(spark.read.parquet(f"{folder}/postings"), folder, avgdl)
+        return {"n_texts": n_texts, "n_docs": n_docs, "n_tokens": n_tokens, "avgdl": avgdl, "n_buckets": buckets}
+
+    _, figures = side_by_side(positions, texts)
+    return figures
+
+
+def _write_postings(source: DataFrame, texts_t: DataFrame, folder: str, single: bool, n_buckets: int, by_bucket: bool) -> None:
+    """``term_bucket, term, text_id, n_copies, tf, dl`` of each text once; the buckets of a large table are folders."""
+    if single:
+        distinct = source.select(F.col("doc_pos").alias("text_id"), "tokens", F.lit(1).cast("long").alias("n_copies"))
+    else:
+        distinct = source.withColumnRenamed("doc_pos", "text_id").join(texts_t.select("text_id", "n_copies"), "text_id")
+    rows = (
+        _exploded(distinct)
+        .groupBy("text_id", "n_copies", "dl", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+        .withColumn("term_bucket", _bucket(F.col("term"), n_buckets))
+    )
+    if by_bucket and n_buckets > 1:
+        # balances the files of a bucket by size, so that a frequent term fills several
+        rows = rows.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term")
+        rows.write.partitionBy("term_bucket").parquet(f"{folder}/postings")
+    else:
+        rows.write.parquet(f"{folder}/postings")
+
+
+def _write_terms(postings_t: DataFrame, folder: str, avgdl: float) -> None:
+    """``term_bucket, term, df, n_texts, max_gain, champions``: what merges over segments."""
+    # one strong text from each of a few slices of the corpus: plain aggregates, no sort
+    slice_no = F.pmod(F.xxhash64("text_id"), F.lit(CHAMPIONS))
+    postings_t.withColumn("gain", _gain(F.col("tf"), F.col("dl"), avgdl)).groupBy("term_bucket", "term").agg(
+        F.sum("n_copies").alias("df"),
+        F.count(F.lit(1)).alias("n_texts"),
+        F.max("gain").alias("max_gain"),
+        F.array_compact(
+            F.array(*[F.max_by("text_id", F.when(slice_no == i, F.col("gain"))) for i in range(CHAMPIONS)])
+        ).alias("champions"),
+    ).write.parquet(f"{folder}/terms")
+
+
+def _merged_terms(spark: SparkSession, path: str, segments: list[dict], n_docs: int, avgdl: float) -> DataFrame:
+    """Terms of all segments with idf; gains grow at most like the mean length."""
+    frames = []
+    for segment, frame in zip(segments, segment_tables(spark, path, segments, "terms"), strict=True):
+        grown = max(1.0, avgdl / segment["avgdl"]) if segment["avgdl"] else 1.0
+        frames.append(frame.withColumn("max_gain", F.col("max_gain") * grown) if grown > 1 else frame)
+    terms = united(frames)
+    if len(frames) > 1:
+        terms = terms.groupBy("term_bucket", "term").agg(
+            F.sum("df").alias("df"),
+            F.sum("n_texts").alias("n_texts"),
+            F.max("max_gain").alias("max_gain"),
+            # CHAMPIONS of each segment
+            F.flatten(F.collect_list("champions")).alias("champions"),
         )
+    return terms.withColumn("idf", _idf(F.lit(float(n_docs)), F.col("df")))
 
-    fresh = write_once(spark, f"{path}/texts", texts, overwrite)
-    texts_t = spark.read.parquet(f"{path}/texts")
-    n_texts, n_docs, total = texts_t.agg(
-        F.count(F.lit(1)),
-        F.coalesce(F.sum("n_copies"), F.lit(0)),
-        F.coalesce(F.sum(F.col("dl") * F.col("n_copies")), F.lit(0)),
-    ).first()
-    avgdl = total / n_docs if n_docs else 0.0
-    n_buckets = min(MAX_BUCKETS, max(1, -(-total // POSTINGS_PER_BUCKET)))
-    by_bucket = ["term_bucket"] if n_buckets > 1 else None
-
-    def postings() -> DataFrame:
-        if n_texts == n_docs:
-            distinct = source.select(
-                F.col("doc_pos").alias("text_id"), "tokens", F.lit(1).cast("long").alias("n_copies")
-            )
-        else:
-            distinct = source.withColumnRenamed("doc_pos", "text_id").join(
-                texts_t.select("text_id", "n_copies"), "text_id"
-            )
-        rows = (
-            _exploded(distinct)
-            .groupBy("text_id", "n_copies", "dl", "term")
-            .agg(F.count(F.lit(1)).alias("tf"))
-            .withColumn("gain", _gain(F.col("tf"), F.col("dl"), avgdl))
-            .withColumn("term_bucket", _bucket(F.col("term"), n_buckets))
-        )
-        if by_bucket:
-            # balances the files of a bucket by size, so that a frequent term fills several
-            rows = rows.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term")
-        return rows
-
-    fresh |= write_once(spark, f"{path}/postings", postings, overwrite or fresh, by_bucket)
-    postings_t = spark.read.parquet(f"{path}/postings")
-
-    def terms() -> DataFrame:
-        # one strong text from each of a few slices of the corpus: plain aggregates, no sort
-        slice_no = F.pmod(F.xxhash64("text_id"), F.lit(CHAMPIONS))
-        return (
-            postings_t.groupBy("term")
-            .agg(
-                F.sum("n_copies").alias("df"),
-                F.count(F.lit(1)).alias("n_texts"),
-                F.max("gain").alias("max_gain"),
-                *[
-                    F.max_by("text_id", F.when(slice_no == i, F.col("gain"))).alias(f"champion_{i}")
-                    for i in range(CHAMPIONS)
-                ],
-            )
-            .select(
-                "term",
-                "df",
-                "n_texts",
-                "max_gain",
-                F.array_compact(F.array(*[f"champion_{i}" for i in range(CHAMPIONS)])).alias("champions"),
-                _idf(F.lit(float(n_docs)), F.col("df")).alias("idf"),
-                _bucket(F.col("term"), n_buckets).alias("term_bucket"),
-            )
-        )
 
-    write_once(spark, f"{path}/terms", terms, overwrite or fresh)
-    terms_t = spark.read.parquet(f"{path}/terms")
-    return texts_t, postings_t, terms_t, n_docs, n_texts, n_buckets, avgdl
+def _totals(segments: list[dict]) -> tuple[int, int, float]:
+    """Documents, tokens and mean length of all segments."""
+    n_docs, n_tokens = sum(s["n_docs"] for s in segments), sum(s["n_tokens"] for s in segments)
+    return n_docs, n_tokens, n_tokens / n_docs if n_docs else 0.0
+
+
+def _commit(spark: SparkSession, path: str, segments: list[dict], n_buckets: int, after: int) -> None:
+    n_docs, _, avgdl = _totals(segments)
+    mean_idf, longest, n_postings = (
+        _merged_terms(spark, path, segments, n_docs, avgdl).agg(F.avg("idf"), F.max("n_texts"), F.sum("n_texts")).first()
+    )
+    content = {
+        "parameters": {"k1": K1, "b": B, "epsilon": EPSILON},
+        "n_buckets": n_buckets,
+        "floor": EPSILON * (mean_idf or 0.0),
+        "longest_list": longest or 0,
+        "n_postings": n_postings or 0,
+        "segments": segments,
+    }
+    commit(spark, path, content, after)
+
+
+def _tokenised(corpus: DataFrame, id_col: str, key_col: str) -> DataFrame:
+    # spread by position, a small corpus needs no further shuffle to count terms per text
+    keyed = spread(corpus.select(F.col(id_col).cast("long").alias("doc_pos"), F.col(key_col).alias("key")), "doc_pos")
+    return keyed.select("doc_pos", key_tokens(F.col("key")).alias("tokens"))
 
 
 def build_lexical_index(
@@ -223,45 +272,60 @@ def build_lexical_index(
     id_col: str = "doc_pos",
     overwrite: bool = False,
 ) -> LexicalIndex:
-    """Write the index tables that are missing under ``path`` and open them."""
+    """Write the index tables under ``path`` unless they are there, and open them."""
     spark = corpus.sparkSession
-    # spread by position, a small corpus needs no further shuffle to count terms per text
-    keyed = spread(corpus.select(F.col(id_col).alias("doc_pos"), F.col(key_col).alias("key")), "doc_pos")
-    source = keyed.select("doc_pos", key_tokens(F.col("key")).alias("tokens"))
-
-    def docs() -> DataFrame:
-        return source.select(
-            "doc_pos",
-            F.sha2(F.array_join("tokens", " "), 256).alias("digest"),
-            F.size("tokens").cast("long").alias("dl"),
-        )
-
-    fresh = write_once(spark, f"{path}/docs", docs, overwrite)
-    docs_t = spark.read.parquet(f"{path}/docs")
+    held = read_version(spark, path)
+    if held is None or overwrite:
+        folder = new_segment()
+        figures = _write_segment(_tokenised(corpus, id_col, key_col), f"{path}/{folder}", None, None)
+        _commit(spark, path, [{"folder": folder, **figures}], figures["n_buckets"], held["version"] if held else 0)
+    return open_lexical_index(spark, path)
 
-    def positions() -> bool:
-        def numbered() -> DataFrame:
-            return number_rows(docs_t.select("doc_pos"), [F.col("doc_pos").desc()], "positions", "from_top")
 
-        return write_once(spark, f"{path}/positions", numbered, overwrite or fresh)
+def add_to_lexical_index(corpus: DataFrame, path: str, key_col: str = "question", id_col: str = "doc_pos") -> LexicalIndex:
+    """Add the documents with new positions as a segment; no old file changes.
 
-    _, (texts_t, postings_t, terms_t, n_docs, n_texts, n_buckets, avgdl) = side_by_side(
-        positions, lambda: _build_postings(source, docs_t, path, overwrite or fresh)
-    )
-    mean_idf, longest, n_postings = terms_t.agg(F.avg("idf"), F.max("n_texts"), F.sum("n_texts")).first()
+    Document frequencies, document and token counts of the segments add up; weights and
+    scores follow from the sums when the index is read.
+    """
+    spark = corpus.sparkSession
+    held = read_version(spark, path)
+    known = open_lexical_index(spark, path, held["version"]).docs.select(F.col("doc_pos").alias(id_col))
+    folder = new_segment()
+    n_docs, n_tokens, _ = _totals(held["segments"])
+    source = _tokenised(corpus.join(known, id_col, "left_anti"), id_col, key_col)
+    figures = _write_segment(source, f"{path}/{folder}", held["n_buckets"], {"n_docs": n_docs, "n_tokens": n_tokens})
+    if figures["n_docs"]:
+        _commit(spark, path, [*held["segments"], {"folder": folder, **figures}], held["n_buckets"], held["version"])
+    return open_lexical_index(spark, path)
+
+
+def open_lexical_index(spark: SparkSession, path: str, version: int | None = None) -> LexicalIndex:
+    """Open the newest version or the given one; reads its version file only."""
+    held = read_version(spark, path, version)
+    segments = held["segments"]
+    n_docs, _, avgdl = _totals(segments)
+
+    def tables(name: str) -> DataFrame:
+        frames = segment_tables(spark, path, segments, name)
+        return united([frame.withColumn("segment", F.lit(i)) for i, frame in enumerate(frames)])
+
+    postings = tables("postings").withColumn("gain", _gain(F.col("tf"), F.col("dl"), avgdl))
     return LexicalIndex(
-        docs=docs_t,
-        positions=spark.read.parquet(f"{path}/positions"),
-        texts=texts_t,
-        postings=postings_t,
-        terms=terms_t,
+        docs=tables("docs"),
+        positions=tables("positions"),
+        texts=tables("texts"),
+        postings=postings.select("term_bucket", "term", "text_id", "tf", "dl", "gain"),
+        terms=_merged_terms(spark, path, segments, n_docs, avgdl),
         n_docs=n_docs,
-        n_texts=n_texts,
-        n_buckets=n_buckets,
+        n_texts=sum(s["n_texts"] for s in segments),
+        n_buckets=held["n_buckets"],
         avgdl=avgdl,
-        floor=EPSILON * (mean_idf or 0.0),
-        longest_list=longest or 0,
-        n_postings=n_postings or 0,
+        floor=held["floor"],
+        longest_list=held["longest_list"],
+        n_postings=held["n_postings"],
+        segment_docs=tuple(s["n_docs"] for s in segments),
+        version=held["version"],
     )
 
 
@@ -388,49 +452,45 @@ def _all_copies(index: LexicalIndex, scored: DataFrame, k: int | None) -> DataFr
     """From texts to documents: every copy, or the k highest positions of each text."""
     if index.n_texts == index.n_docs:
         return scored.withColumnRenamed("text_id", "doc_pos")
-    named = scored.join(index.texts.filter("n_copies > 1").select("text_id", "digest"), "text_id", "left")
+    keys = ["segment", "digest"]
+    named = scored.join(index.texts.filter("n_copies > 1").select("text_id", *keys), "text_id", "left")
     single = named.filter(F.col("digest").isNull()).select("ask", F.col("text_id").alias("doc_pos"), "score")
-    many = named.filter(F.col("digest").isNotNull()).select("ask", "digest", "score")
-    copies = index.docs.select("digest", "doc_pos").join(
-        many.select("digest").distinct(), "digest", "left_semi"
-    )
+    many = named.filter(F.col("digest").isNotNull()).select("ask", *keys, "score")
+    copies = index.docs.select(*keys, "doc_pos").join(many.select(*keys).distinct(), keys, "left_semi")
     if k is not None:
-        copies = top_k(copies, k, "digest", [F.desc("doc_pos")]).drop("rank")
-    return single.unionByName(many.join(copies, "digest").select("ask", "doc_pos", "score"))
+        copies = top_k(copies, k, keys, [F.desc("doc_pos")]).drop("rank")
+    return single.unionByName(many.join(copies, keys).select("ask", "doc_pos", "score"))
 
 
 def _with_zero_rows(index: LexicalIndex, asks: DataFrame, nonzero: DataFrame, k: int) -> DataFrame:
     """Fill questions with fewer than k positive documents with zero scores, highest positions first.
 
-    Among the first n + k positions from the top at least k are free when n
-    documents have a score of their own.
+    Among the first n + k positions from the top of a segment at least k are free, or all that are
+    left, when n documents have a score of their own.
     """
     counts = nonzero.groupBy("ask").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") > 0).alias("n_positive")
     )
     step = 1000
-    reach = F.least(F.lit(index.n_docs), F.coalesce("n", F.lit(0)) + k)
-    short = (
-        asks.join(counts, "ask", "left")
-        .filter(F.coalesce("n_positive", F.lit(0)) < k)
-        .select("ask", reach.cast("long").alias("reach"))
-        .filter("reach > 0")
-    )
+    sizes = F.explode(F.array(*[F.struct(F.lit(i).alias("segment"), F.lit(n).cast("long").alias("size")) for i, n in enumerate(index.segment_docs)]))
+    short = asks.join(counts, "ask", "left").filter(F.coalesce("n_positive", F.lit(0)) < k).withColumn("of", sizes)
+    short = short.select(
+        "ask", F.col("of.segment").alias("segment"), F.least("of.size", F.coalesce("n", F.lit(0)) + k).cast("long").alias("reach")
+    ).filter("reach > 0")
     slots = short.select(
-        "ask", "reach", F.explode(F.expr(f"sequence(0L, (reach - 1) div {step})")).alias("chunk")
+        "ask", "segment", "reach", F.explode(F.expr(f"sequence(0L, (reach - 1) div {step})")).alias("chunk")
     ).select(
-        "ask",
+        "ask", "segment",
         F.explode(F.expr(f"sequence(chunk * {step}, least(reach, (chunk + 1) * {step}) - 1)")).alias("from_top"),
-    )
+    )
     ranks = index.positions
-    if not index.weights_may_be_negative:
+    if not index.weights_may_be_negative and 2 * k * len(index.segment_docs) <= BROADCAST_POSITIONS:
         # nonzero scores are positive here, so a short question has fewer than k of them
         ranks = F.broadcast(ranks.filter(F.col("from_top") < 2 * k))
-    taken = (
-        nonzero.join(short.select("ask"), "ask", "left_semi").join(ranks, "doc_pos").select("ask", "from_top")
-    )
-    free = top_k(slots.join(taken, ["ask", "from_top"], "left_anti"), k, "ask", [F.asc("from_top")])
-    zeros = free.join(ranks, "from_top").select("ask", "doc_pos", F.lit(0.0).alias("score"))
+    place = ["segment", "from_top"]
+    taken = nonzero.join(short.select("ask").distinct(), "ask", "left_semi").join(ranks, "doc_pos").select("ask", *place)
+    free = slots.join(taken, ["ask", *place], "left_anti").join(ranks, place)
+    zeros = top_k(free, k, "ask", [F.desc("doc_pos")]).select("ask", "doc_pos", F.lit(0.0).alias("score"))
     return nonzero.unionByName(zeros)
 
 
@@ -460,8 +520,8 @@ def bm25_search(
     )
     terms = materialize(_question_terms(index, asked), "question_terms")
     order = [F.desc("score"), F.desc("text_id")]
-    if not 1 <= k <= MAX_TOP_K:
-        raise ValueError(f"k must be between 1 and {MAX_TOP_K}")
+    if k < 1:
+        raise ValueError("k must be at least 1")
     if index.weights_may_be_negative:
         scored = _score_all(index, terms).withColumn("score", _rounded(F.col("score")))
         nonzero = materialize(_all_copies(index, scored.filter("score <> 0"), None), "scored")

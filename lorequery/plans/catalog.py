@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from lorequery.functions.text import clean_answer, normalize_question, sanitize_answer, strip, strip_prompt
 from lorequery.operators import lexical
-from lorequery.operators.dense import build_vector_index, dense_search
+from lorequery.operators.dense import add_vectors, build_vector_index, dense_search
 from lorequery.operators.embedding import hash_embedder
 from lorequery.operators.generation import quoting_generator
 from lorequery.operators.hybrid import largest_top_k, resolve_requests, retrieve
 from lorequery.operators.ranking import number_rows
 from lorequery.plans.answer import answer_questions, context_blocks, find_items, prompts
-from lorequery.plans.build import build_index
+from lorequery.plans.build import add_to_index, build_index
 from lorequery.session import scratch_path, spread
 from lorequery.sources.collection import add_documents, document_ids, to_documents
 from lorequery.sources.events import fold_events, token_events
@@ -152,6 +152,36 @@ def ann_topk(spark, sf_dir):
     return dense_search(index, questions, 3, n_probe=4).withColumnRenamed("doc_pos", "vec_id")
 
 
+def vector_reopen(spark, sf_dir):
+    """Half the vectors in fine cells, the others added, then reopened with other parameters."""
+    vectors, path = table(spark, sf_dir, "embeddings"), scratch_path(spark, "vectors")
+    build_vector_index(vectors.filter("vec_id % 2 = 0"), path, "vec_id", cell_rows=64)
+    add_vectors(vectors, path, "vec_id")
+    index = build_vector_index(vectors, path, "vec_id")
+    questions = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    return dense_search(index, questions, 3).withColumnRenamed("doc_pos", "vec_id")
+
+
+def bm25_topk_added(spark, sf_dir):
+    """Three additions to the statistics of a part of the documents: the same as all at once."""
+    documents, path = table(spark, sf_dir, "documents"), scratch_path(spark, "lexical")
+    index = lexical.build_lexical_index(documents.filter("doc_id % 3 = 0"), path, "text", "doc_id")
+    for rest in (1, 2):
+        index = lexical.add_to_lexical_index(documents.filter(F.expr("doc_id % 3") <= rest), path, "text", "doc_id")
+    questions = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("question")
+    )
+    return lexical.bm25_search(index, questions, 3).withColumnRenamed("doc_pos", "doc_id")
+
+
+def add_then_answer(spark, sf_dir):
+    """An index of the opening exchanges, to which all are added: contexts quote old and new ones."""
+    corpus, path = qa_corpus(spark, sf_dir), scratch_path(spark, "index")
+    index = build_index(corpus.filter("doc_pos % 1000 = 0"), path)
+    items = find_items(qa_questions(spark, sf_dir), add_to_index(corpus, path, index))
+    return context_blocks(items).select("query_id", "context")
+
+
 def _two_adds(spark, sf_dir) -> DataFrame:
     """First the opening exchange of each conversation, then all: known ids are left alone."""
     path = scratch_path(spark, "collection")
@@ -159,8 +189,7 @@ def _two_adds(spark, sf_dir) -> DataFrame:
     columns = ["doc_pos", "question", "answer"]
     opening = pairs.filter("turn = 0").select(*columns)
     add_documents(path, to_documents(opening, hash_embedder()).withColumn("batch", F.lit(1)))
-    add_documents(path, to_documents(pairs.select(*columns), hash_embedder()).withColumn("batch", F.lit(2)))
-    return spark.read.parquet(path)
+    return add_documents(path, to_documents(pairs.select(*columns), hash_embedder()).withColumn("batch", F.lit(2)))
 
 
 def vector_add(spark, sf_dir):
@@ -368,6 +397,9 @@ QUERIES: dict[str, Query] = {
     "bm25_topk_padded": bm25_topk_padded,
     "semantic_topk": semantic_topk,
     "ann_topk": ann_topk,
+    "vector_reopen": vector_reopen,
+    "bm25_topk_added": bm25_topk_added,
+    "add_then_answer": add_then_answer,
     "vector_add": vector_add,
     "collection_count": collection_count,
     "hash_embed": hash_embed,

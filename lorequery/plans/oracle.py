@@ -248,3 +248,8 @@ SQL: dict[str, str] = {
   SELECT CAST(a.query_id AS VARCHAR) AS request_id, CAST(a.conv_id AS VARCHAR) AS session_id,
     a.question AS "user", s.s AS assistant FROM asked a JOIN sane s USING (query_id)""",
 }
+
+# an index that grew in steps, or was reopened, answers like one that was built at once
+SQL["vector_reopen"] = SQL["semantic_topk"]
+SQL["bm25_topk_added"] = SQL["bm25_topk"]
+SQL["add_then_answer"] = SQL["context_block"]

@@ -105,6 +105,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 def side_by_side(*jobs: Callable[[], Any]) -> list[Any]:
     """Run independent chains of Spark jobs at the same time, in the job group of the caller."""
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(len(jobs)) as pool:
-        running = [pool.submit(copy_context().run, inheritable_thread_target(job)) for job in jobs]
+        running = [pool.submit(copy_context().run, inherit(job)) for job in jobs]
         return [f.result() for f in running]

@@ -44,4 +44,4 @@ def test_lexical_index_reads_only_what_it_needs(spark, tmp_path):
     index = lexical.build_lexical_index(df, str(tmp_path / "l"))
     terms = index.terms.select(F.lit(1).alias("ask"), "term_bucket", "term", F.lit(1.0).alias("weight"))
     text = plan(lexical._score_all(index, terms))
-    assert re.search(r"ReadSchema: struct<text_id:bigint,term:string,gain:double,term_bucket:int>", text)
+    assert re.search(r"ReadSchema: struct<text_id:bigint,dl:bigint,term:string,tf:bigint,term_bucket:int>", text)

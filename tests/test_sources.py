@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorequery.sources import faq_csv, tables
-from lorequery.sources.collection import add_documents, to_documents
+from lorequery.sources.collection import add_documents, read_collection, to_documents
 from lorequery.sources.events import fold_events, read_lines, token_events, write_events
 from lorequery.operators.embedding import hash_embedder
 
@@ -69,12 +69,12 @@ def test_collection_adds_only_new_ids(spark, tmp_path):
     rows = [(0, "q0", "a0"), (1, "q1", "a1"), (2, "q2", None)]
     first = spark.createDataFrame(rows, "doc_pos long, question string, answer string")
     second = spark.createDataFrame(
-        [(1, "other", "other"), (3, "q3", "a3")], "doc_pos long, question string, answer string"
+        [(1, "other", "other"), (3, "q3", "a3"), (3, "again", "b3")], "doc_pos long, question string, answer string"
     )
     add_documents(path, to_documents(first, hash_embedder()))
     for _ in range(2):
         add_documents(path, to_documents(second, hash_embedder()))
-    got = sorted((r.id, r.document, r.metadata.question, len(r.embedding)) for r in spark.read.parquet(path).collect())
+    got = sorted((r.id, r.document, r.metadata.question, len(r.embedding)) for r in read_collection(spark, path).collect())
     assert got == [("qa_0", "a0", "q0", 64), ("qa_1", "a1", "q1", 64), ("qa_3", "a3", "q3", 64)]
 
 
