@@ -4,24 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorequery.functions.text import clean_answer, normalize_question, sanitize_answer, strip, strip_prompt
 from lorequery.operators import lexical
 from lorequery.operators.dense import add_vectors, build_vector_index, dense_search
 from lorequery.operators.embedding import hash_embedder
-from lorequery.operators.generation import quoting_generator
+from lorequery.operators.generation import model_generator, quoting_generator
 from lorequery.operators.hybrid import largest_top_k, resolve_requests, retrieve
 from lorequery.operators.ranking import number_rows
 from lorequery.plans.answer import answer_questions, context_blocks, find_items, prompts
 from lorequery.plans.build import add_to_index, build_index
-from lorequery.session import scratch_path, spread
+from lorequery.session import materialize, scratch_path, spread
 from lorequery.sources.collection import add_documents, document_ids, to_documents
 from lorequery.sources.events import fold_events, token_events
 from lorequery.sources.faq_csv import normalize_qa, preprocess_csv, write_qa_csv
 from lorequery.sources.tables import row_count
-from lorequery.streaming.history import session_history
+from lorequery.streaming.history import number_exchanges, numbered_exchanges, session_history
 from lorequery.streaming.requests import answer_stream, read_exchanges
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,6 +265,24 @@ def generated_answers(spark, sf_dir):
     return answers.select("query_id", "answer")
 
 
+def _word_counter():
+    """A model that states how many words a prompt has and fails on round numbers."""
+
+    def complete(batch, max_tokens, temperature):
+        sizes = [len(prompt.split()) for prompt in batch]
+        if any(n % 10 == 0 for n in sizes):
+            raise ValueError("round number")
+        return [f"{prompt}\nA:  {n} words" for prompt, n in zip(batch, sizes, strict=True)]
+
+    return complete
+
+
+def model_answers(spark, sf_dir):
+    """Answers of a Python model that fails on some of the prompts."""
+    answers = answer_questions(mixed_requests(spark, sf_dir), qa_index(spark, sf_dir), model_generator(_word_counter))
+    return answers.select("query_id", "answer", "error")
+
+
 def _wrapped(spark, sf_dir, *forms: str) -> DataFrame:
     """Assistant turns inside one of the given SQL forms, by conversation."""
     cases = " ".join(f"when {i} then {form}" for i, form in enumerate(forms))
@@ -346,6 +364,21 @@ def history(spark, sf_dir):
     return pages.select("session_id", "page", "n", text.alias("history"))
 
 
+def stream_history(spark, sf_dir):
+    """Exchanges that arrive in four folders, numbered by a stream that is stopped and started again in between."""
+    out, numbers, progress = (scratch_path(spark, name) for name in ("exchanges", "numbers", "progress"))
+    pairs = _exchanges(spark, sf_dir).withColumnRenamed("seq", "place").withColumn("session_id", F.col("session_id").cast("string"))
+    quarter = F.ntile(4).over(Window.partitionBy("session_id").orderBy("place"))
+    arriving = materialize(pairs.withColumn("quarter", quarter - 1), "arriving")
+    for batch in range(4):
+        arriving.filter(F.col("quarter") == batch).drop("quarter").write.parquet(f"{out}/batch_id={batch}")
+        if batch % 2:
+            number_exchanges(spark, out, numbers, progress, files=8).awaitTermination()
+    pages = session_history(numbered_exchanges(spark, out, numbers), page_rows=4)
+    text = F.array_join(F.transform("history", lambda e: F.concat(e["user"], F.lit(" => "), e["assistant"])), " | ")
+    return pages.select("session_id", "page", "n", text.alias("history"))
+
+
 def index_tables(spark, sf_dir):
     """Sizes of the index tables after two builds into the same folder."""
     path = scratch_path(spark, "index")
@@ -410,12 +443,14 @@ QUERIES: dict[str, Query] = {
     "prompt_render": prompt_render,
     "rag_prompts": rag_prompts,
     "generated_answers": generated_answers,
+    "model_answers": model_answers,
     "strip_prompt": stripped,
     "sanitize_answer": sanitized,
     "clean_answer": cleaned,
     "token_events": events,
     "token_fold": folded,
     "session_history": history,
+    "stream_history": stream_history,
     "index_tables": index_tables,
     "stream_answers": stream_answers,
 }

@@ -253,3 +253,13 @@ SQL: dict[str, str] = {
 SQL["vector_reopen"] = SQL["semantic_topk"]
 SQL["bm25_topk_added"] = SQL["bm25_topk"]
 SQL["add_then_answer"] = SQL["context_block"]
+SQL["stream_history"] = f"""WITH {PAIRS}, numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq FROM pairs)
+  SELECT CAST(conv_id AS VARCHAR) AS session_id, seq // 4 AS page, count(*) AS n,
+    string_agg(question || ' => ' || answer, ' | ' ORDER BY seq) AS history FROM numbered GROUP BY conv_id, seq // 4"""
+SQL["model_answers"] = f"""WITH {MIXED}, {_hybrid('asked')}, {ITEMS},
+  blocks AS (SELECT query_id, {_CONTEXT} AS context FROM items GROUP BY query_id),
+  counted AS (SELECT query_id, len({_tokens(_prompt("coalesce(context, '')", "question"))}) AS words
+    FROM asked LEFT JOIN blocks USING (query_id))
+  SELECT query_id, CASE WHEN words % 10 <> 0 THEN words || ' words' END AS answer,
+    CASE WHEN words % 10 = 0 THEN 'ValueError: round number' END AS error FROM counted"""

@@ -1,18 +1,90 @@
-"""Session histories from the append-only exchanges table."""
+"""Session histories: exchanges numbered in arrival order by keyed state, and read back as lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 PAGE_ROWS = 100
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for streams with keyed state, which need a state store on disk."""
+    session = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        session.conf.set(key, spark.conf.get(key))
+    session.conf.set(_PROVIDER, _ROCKSDB)
+    return session
+
+
+class _Numbering(StatefulProcessor):
+    """Gives the exchanges of a session consecutive numbers; one that was seen before gets none."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n long, batch_id long, place long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, batch_id, place = self.seen.get() if self.seen.exists() else (0, -1, -1)
+        # two numbers per exchange of the session in this micro-batch, no texts
+        own = pd.concat([part[["batch_id", "place"]] for part in rows]).drop_duplicates()
+        later = (own["batch_id"] > batch_id) | ((own["batch_id"] == batch_id) & (own["place"] > place))
+        own = own[later].sort_values(["batch_id", "place"], ignore_index=True)
+        if len(own):
+            last = own.iloc[-1]
+            self.seen.update((n + len(own), int(last["batch_id"]), int(last["place"])))
+            yield own.assign(session_id=key[0], seq=range(n, n + len(own)))[["session_id", "batch_id", "place", "seq"]]
+
+    def close(self) -> None:
+        pass
+
+
+def number_exchanges(
+    spark: SparkSession, exchanges_path: str, out_path: str, checkpoint: str, trigger: dict | None = None, files: int | None = None
+) -> StreamingQuery:
+    """Number the exchanges of each session as they arrive: ``session_id, batch_id, place, seq`` under ``out_path``.
+
+    Follows the folders of ``answer_stream``; numbers start at 0 and have no gaps, also over restarts, and a
+    replayed micro-batch gets no second numbers. ``files`` bounds what one micro-batch takes on.
+    """
+    session = stateful_session(spark)
+    reader = session.readStream.schema("session_id string, place long, batch_id long")
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    numbers = (
+        reader.parquet(exchanges_path)
+        .groupBy("session_id")
+        .transformWithStateInPandas(
+            _Numbering(), "session_id string, batch_id long, place long, seq long", outputMode="Append", timeMode="None"
+        )
+    )
+    return (
+        numbers.writeStream.format("parquet")
+        .option("path", out_path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def numbered_exchanges(spark: SparkSession, exchanges_path: str, numbers_path: str) -> DataFrame:
+    """The exchanges that have a number, with it as ``seq``."""
+    numbers = spark.read.parquet(numbers_path).select("batch_id", "place", F.col("session_id").alias("_session"), "seq")
+    exchanges = spark.read.parquet(exchanges_path).withColumn("batch_id", F.col("batch_id").cast("long"))
+    same = F.col("session_id").eqNullSafe(F.col("_session"))
+    return exchanges.join(numbers, ["batch_id", "place"]).filter(same).drop("_session", "batch_id", "place")
 
 
 def session_history(exchanges: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """Nested view: ``session_id, page, n, history`` with the exchanges of a page in arrival order.
 
-    A session can be arbitrarily long, so its list comes in pages of ``page_rows``
-    sequence numbers; reading the pages in order gives the whole list.
+    ``seq`` is the number of an exchange within its session. A session can be arbitrarily long, so its list
+    comes in pages of ``page_rows`` numbers; reading the pages in order gives the whole list.
     """
     ordered = F.sort_array(F.collect_list(F.struct("seq", "user", "assistant")))
     return (
