@@ -20,7 +20,7 @@ from lorequery.plans.answer import answer_questions, context_blocks, find_items,
 from lorequery.plans.build import add_to_index, build_index
 from lorequery.session import materialize, scratch_path, spread
 from lorequery.sources.collection import add_documents, document_ids, to_documents
-from lorequery.sources.events import fold_events, token_events
+from lorequery.sources.events import add_event_files, fold_events, read_event_files, token_events
 from lorequery.sources.faq_csv import normalize_qa, preprocess_csv, write_qa_csv
 from lorequery.sources.tables import row_count
 from lorequery.streaming.history import number_exchanges, numbered_exchanges, session_history
@@ -335,6 +335,9 @@ def _wrapped(spark, sf_dir, *forms: str) -> DataFrame:
     )
 
 
+# Lines that are not one whole JSON object.
+JUNK_LINES = ["", "  ", "{broken", '{"token":"x"', '{"token":"x"} y', '{"final":"x"}{"final":"y"}', "{'token':'x'}", "[1]", "7"]
+
 # The forms are plain SQL on the column text and mean the same in both engines.
 SANITIZE_FORMS = [
     "concat('q: ', text, ' A: ', text)",
@@ -402,6 +405,18 @@ def folded(spark, sf_dir):
     return fold_events(lines.unionByName(noise), "session_id", "seq")
 
 
+def event_files(spark, sf_dir):
+    """Event lines written in two additions, with junk among them, read back in order and folded."""
+    path = scratch_path(spark, "event-files")
+    lines = events(spark, sf_dir)
+    junk = lines.select("session_id", "seq", "pos", F.explode(F.array(*[F.lit(x) for x in JUNK_LINES])).alias("json"))
+    for part in (0, 1):
+        own = F.col("session_id") % 2 == part
+        add_event_files(lines.filter(own).unionByName(junk.filter(own)), path, "session_id", "seq", n_files=8)
+    back = read_event_files(spark, path, "session_id bigint, seq bigint")
+    return fold_events(back, "session_id", "seq")
+
+
 def history(spark, sf_dir):
     pages = session_history(_exchanges(spark, sf_dir), page_rows=4)
     text = F.array_join(F.transform("history", lambda e: F.concat(e["user"], F.lit(" => "), e["assistant"])), " | ")
@@ -497,6 +512,7 @@ QUERIES: dict[str, Query] = {
     "clean_answer": cleaned,
     "token_events": events,
     "token_fold": folded,
+    "event_files": event_files,
     "session_history": history,
     "stream_history": stream_history,
     "index_tables": index_tables,

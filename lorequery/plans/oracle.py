@@ -274,3 +274,4 @@ SQL["deep_request"] = f"""WITH {_DEEP}, {_hybrid('asked').replace("rank <= 10)",
   SELECT query_id, method, rank, doc_pos, score FROM hits"""
 SQL["ann_quality"] = """SELECT count(*) AS n_questions, 3 * count(*) AS n_rows, CAST(0 AS BIGINT) AS n_wrong_distances,
   true AS recalled FROM embeddings"""
+SQL["event_files"] = SQL["token_fold"]

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from lorequery.sources import faq_csv, tables
 from lorequery.sources.collection import add_documents, read_collection, to_documents
-from lorequery.sources.events import fold_events, read_lines, token_events, write_events
+from lorequery.sources.events import add_event_files, fold_events, read_event_files, read_lines, token_events, write_events
+from lorequery.streaming.events import fold_stream, read_folded
 from lorequery.operators.embedding import hash_embedder
 
 HANDBOOK = os.path.join(os.path.dirname(__file__), "data", "handbook.csv")
@@ -93,11 +94,65 @@ def test_events_and_back(spark, tmp_path):
     assert {r.request for r in lines.select("request").distinct().collect()} == {1, 2, 3}
 
 
+def test_lines_come_back_in_order(spark, tmp_path):
+    words = [f"w{i}" for i in range(4000)]
+    (tmp_path / "a.ndjson").write_text("".join(f'{{"token":"{w}"}}\n' for w in words))
+    (tmp_path / "b.ndjson").write_text('{"token":"x"}\n\n{oops\n{"final":"done"}\n{"token":"late"}\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        lines = read_lines(spark, str(tmp_path)).withColumnRenamed("value", "json")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = {r.file.rsplit("/", 1)[-1]: r.final for r in fold_events(lines, "file").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {"a.ndjson": " ".join(words), "b.ndjson": "donelate"}
+
+
+def test_event_files(spark, tmp_path):
+    path = str(tmp_path / "e")
+    assert read_event_files(spark, path, "request int").count() == 0
+    first = token_events(spark.createDataFrame([(1, "s", "a b"), (2, None, "")], "request int, session_id string, answer string"), "request", "session_id")
+    add_event_files(first, path, "request", n_files=2)
+    more = token_events(spark.createDataFrame([(None, "s", 'say "x"\nü')], "request int, session_id string, answer string"), "request", "session_id")
+    add_event_files(more, path, "request", n_files=2)
+    # a folder that no version names, and a line of another form
+    (tmp_path / "e" / "segments" / "half" / "lines").mkdir(parents=True)
+    (tmp_path / "e" / "segments" / "half" / "lines" / "part").write_text("junk")
+    back = read_event_files(spark, path, "request int")
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, first.unionByName(more).select("request", "pos", "json").collect()), key=repr)
+    folded = {r.request: r.final for r in fold_events(back, "request").collect()}
+    assert folded == {1: "a b", 2: "", None: 'say "x" ü'}
+
+
+def test_fold_of_a_stream(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    schema = spark.createDataFrame([], "request int, pos int, json string").schema
+
+    def arrive(*lines):
+        spark.createDataFrame(list(lines), schema).coalesce(1).write.mode("append").parquet(source)
+
+    def follow():
+        fold_stream(spark, source, schema, "request", out, progress, timeout_ms=1).awaitTermination()
+        return sorted((r.request, r.final, r.complete) for r in read_folded(spark, out).collect())
+
+    arrive((1, 1, '{"token":"b"}'), (1, 0, '{"token":"a"}'), (2, 0, '{"token":"x"}'), (2, 1, '{"final":"whole"}'), (3, 0, "{oops"), (4, 0, '{"final":"early"}'))
+    assert follow() == [(2, "whole", True), (4, "early", True)]
+    # answer 1 goes on, 3 has timed out, late and second finals of 2 and 4 change nothing
+    arrive((1, 3, '{"final":"a b c"}'), (1, 2, ""), (2, 2, '{"final":"other"}'), (4, 1, '{"token":"late"}'), (5, 0, '{"token":"no"}'), (5, 1, '{"token":"end"}'))
+    second = follow()
+    assert (1, "a b c", True) in second or (1, "a b", False) in second
+    arrive((6, 0, '{"final":"six"}'))
+    third = follow()
+    assert [r for r in third if r[0] != 1] == [(2, "whole", True), (3, "", False), (4, "early", True), (5, "no end", False), (6, "six", True)]
+    assert [r[0] for r in third].count(1) == 1 and follow() == third
+
+
 def test_fold_of_damaged_lines(spark):
     lines = [
         (1, 0, '{"token":"a"}'), (1, 1, ""), (1, 2, "{oops"), (1, 3, '{"token":"b"}'),
         (2, 0, '{"token":"a"}'), (2, 1, '{"final":"done"}'),
-        (3, 0, "nothing usable"),
+        (3, 0, "nothing usable"), (3, 1, '{"token":"a"} x'), (3, 2, "{'token':'a'}"), (3, 3, '{"token":"a"}{"token":"b"}'),
         (4, 0, '{"final":"first"}'), (4, 1, '{"final":"second"}'),
     ]
     df = spark.createDataFrame(lines, "request int, pos int, json string")
