@@ -260,11 +260,13 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return roots
 
 
-def _scan(rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """``id, digest, n, key, bits, grams`` per document: its set's size, key, bitmap and prefix n-grams.
+def _in(hot: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Which n-grams are among the sorted ``hot`` ones."""
+    return hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
 
-    The order of n-grams is by hash, with the ``hot`` ones last.
-    """
+
+def _scan(rows: DataFrame) -> DataFrame:
+    """``id, digest, n, key, bits, grams`` per document: its set's size, key, bitmap and prefix n-grams by hash."""
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -273,9 +275,6 @@ def _scan(rows: DataFrame, hot: np.ndarray) -> DataFrame:
                 grams = shingles(text)
                 n = len(grams)
                 key, bits = set_key(grams), bitmap(grams, bitmap_width(n)).tobytes()
-                if len(hot) and n:
-                    last = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
-                    grams = np.concatenate((grams[~last], grams[last]))
                 out.append((n, key, bits, grams[: prefix_size(n)].view(np.int64)))
             frame = pd.DataFrame(out, columns=["n", "key", "bits", "grams"])
             yield pd.concat([part[["id", "digest"]].reset_index(drop=True), frame], axis=1)
@@ -284,6 +283,32 @@ def _scan(rows: DataFrame, hot: np.ndarray) -> DataFrame:
     return rows.mapInPandas(scan, f"id {kind}, digest long, n long, key long, bits binary, grams array<long>")
 
 
+def _without_hot(scanned: DataFrame, rows: DataFrame, hot: np.ndarray) -> DataFrame:
+    """``key, grams``: prefixes in the order that has the ``hot`` n-grams last.
+
+    A prefix without hot n-grams stays the same in that order; only the others are made and written anew.
+    """
+
+    @F.pandas_udf("boolean")
+    def stays(grams: pd.Series) -> pd.Series:
+        return pd.Series([not _in(hot, own.view(np.uint64)).any() for own in grams])
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for text in part["text"]:
+                grams = shingles(text)
+                last = _in(hot, grams)
+                size = prefix_size(len(grams))
+                if last[:size].any():
+                    moved = np.concatenate((grams[~last], grams[last]))[:size]
+                    out.append((set_key(grams), moved.view(np.int64)))
+            yield pd.DataFrame(out, columns=["key", "grams"])
+
+    moved = materialize_texts(rows.select("text").mapInPandas(scan, "key long, grams array<long>"), "prefixes")
+    return scanned.select("key", "grams").filter(stays("grams")).unionByName(moved)
+
+
 def _routes(scanned: DataFrame) -> DataFrame:
     """``gram, key`` of the prefix n-grams."""
     return scanned.select(F.explode("grams").alias("gram"), "key")
@@ -420,11 +445,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"),
         F.col(text_col).alias("text"),
     )
-    scanned = materialize_texts(_scan(rows, np.zeros(0, dtype=np.uint64)), "sets")
+    scanned = materialize_texts(_scan(rows), "sets")
     base = scanned.drop("grams")
     hot = _frequent(scanned)
     if len(hot):
-        scanned = materialize_texts(_scan(rows, hot).select("key", "grams"), "prefixes")
+        scanned = _without_hot(scanned, rows, hot)
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")
     sets = materialize(
         base.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(place).alias("least")),
@@ -447,15 +472,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 @tidied
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component and all without n-grams, with the columns of ``docs``, as a written table."""
+    """One document of each component and all without n-grams, with the columns of ``docs``, as a written table.
+
+    Of rows with equal id and text that have n-grams one stays; equal rows without n-grams all stay. Empty
+    tables give no rows.
+    """
     marked = materialize(near_duplicates(docs, id_col, text_col), "near-duplicates")
-    own_id, own_digest, text = free_name(docs, "kept_id"), free_name(docs, "kept_digest"), F.coalesce(F.col(text_col), F.lit(""))
-    staying = marked.filter("stays").select(F.col(id_col).alias(own_id), F.col("digest").alias(own_digest), "n_shingles")
-    keys = staying.distinct()
+    own_id, own_digest, grams = (free_name(docs, name) for name in ("kept_id", "kept_digest", "kept_grams"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    staying = marked.filter("stays").select(
+        F.col(id_col).alias(own_id), F.col("digest").alias(own_digest), F.col("n_shingles").alias(grams)
+    )
     same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_digest))
-    kept = docs.join(keys, same, "left_semi")
-    full = staying.filter("n_shingles > 0")
+    kept = docs.join(staying.distinct(), same)
+    full = staying.filter(F.col(grams) > 0)
     if full.count() != full.distinct().count():
-        # rows with equal id and text: one stays
-        kept = kept.dropDuplicates([id_col, text_col])
+        # rows with equal id and text: one stays, unless they have no n-grams
+        again = kept.filter(F.col(grams) > 0).dropDuplicates([id_col, text_col])
+        kept = again.unionByName(kept.filter(F.col(grams) == 0))
     return materialize(kept.select(docs.columns), "deduplicated")
