@@ -10,12 +10,15 @@ counted first; longer phrases only where both their parts are frequent.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,25 +28,35 @@ from lorequery.session import tidied
 
 #: Entries of a container before it bursts, entries of all tries of a task before subtrees are spilled, and
 #: different words of a task before it starts afresh.
-BURST, ENTRIES, VOCABULARY = 4096, 1_500_000, 500_000
+BURST, ENTRIES, VOCABULARY = 4096, 3_000_000, 1_000_000
 #: Bits of the filter of frequent phrases: 8 MB, whatever their number. A full filter costs time, not results.
 FILTER_BITS = 26
-#: Rows of an Arrow batch of a run.
-_RUN_ROWS = 50_000
+#: Rows of an Arrow batch of a run, and words of text that are counted at once, about.
+_RUN_ROWS, _CHUNK = 50_000, 1 << 18
 #: Occurrences of a candidate, at least; percentage of them inside a longer candidate from which on it goes.
 LEAST, INSIDE = 10, 50
 UNKNOWN = "und"
 
-_BREAK = re.compile(rb"[.,;:!?\x0A-\x0D]")
+#: Lower-cases A-Z and makes every character that ends a piece of text the same, which stands for itself between words.
+_STOP, _STOP_ID = b".", 0
+_LOWER_AND_STOP = bytes(_STOP[0] if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ID_BITS = 32
 _END = -1
+#: Stands between phrase and language in the key of a run; no phrase has one.
+_TAB = "\t"
 
 
 class Vocabulary(dict):
-    """Word ids in order of appearance."""
+    """Word ids in order of appearance, and a hash of each word."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.marks = array("I")
+        self[_STOP]  # takes _STOP_ID
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self)
+        self.marks.append(zlib.crc32(word))
         return number
 
 
@@ -63,50 +76,75 @@ class HatTrie:
     def __init__(self, size: int) -> None:
         self.size, self.root, self.entries = size, {}, 0
 
-    def add(self, firsts, rests) -> None:
-        root, top = self.root, _ID_BITS * (self.size - 2)
-        for first, rest in zip(firsts, rests, strict=False):
-            held = root.get(first)
-            if held is None:
-                held = root[first] = {}
-            above, at, shift = root, first, top
+    def add(self, firsts: Iterable[int], rests: Iterable[int], counts: Iterable[int]) -> None:
+        root, top, last, own = self.root, _ID_BITS * (self.size - 2), None, {}
+        for first, rest, n in zip(firsts, rests, counts, strict=False):
+            if first != last:
+                last, own = first, root.get(first)
+                if own is None:
+                    own = root[first] = {}
+            above, at, shift, held = root, first, top, own
             while type(held) is _Node:
                 above, at, shift, rest = held, rest >> held.shift, held.shift - _ID_BITS, rest & held.mask
                 held = above.get(at)
                 if held is None:
                     held = above[at] = {}
             if rest in held:
-                held[rest] += 1
+                held[rest] += n
             else:
-                held[rest] = 1
+                held[rest] = n
                 self.entries += 1
                 if shift > 0 and len(held) > BURST:
                     above[at] = _Node(held, shift)
-
-    def _walk(self, held: dict, before: tuple[int, ...], ids: int) -> Iterator[tuple[tuple[int, ...], int]]:
-        if type(held) is _Node:
-            for first, below in held.items():
-                yield from self._walk(below, (*before, first), ids - 1)
-            return
-        shifts, mask = [_ID_BITS * i for i in range(ids - 1, -1, -1)], (1 << _ID_BITS) - 1
-        for rest, n in held.items():
-            yield (before if rest == _END else before + tuple((rest >> s) & mask for s in shifts)), n
-
-    def subtree(self, first: int) -> list[tuple[tuple[int, ...], int]]:
-        return list(self._walk(self.root[first], (first,), self.size - 1))
-
-    def take(self, first: int) -> list[tuple[tuple[int, ...], int]]:
-        """A whole subtree, which leaves the trie."""
-        found = self.subtree(first)
-        del self.root[first]
-        self.entries -= len(found)
-        return found
+                    last = None
 
     def largest(self) -> list[int]:
+        """First ids by descending size of their subtrees."""
+
         def size(held: dict) -> int:
             return sum(size(below) for below in held.values()) if type(held) is _Node else len(held)
 
-        return sorted(self.root, key=lambda first: -size(self.root[first]))
+        sizes = {first: size(held) for first, held in self.root.items()}
+        return sorted(sizes, key=sizes.get, reverse=True)
+
+    def _leaves(self, held: dict, before: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], dict]]:
+        if type(held) is _Node:
+            for first, below in held.items():
+                yield from self._leaves(below, (*before, first))
+        else:
+            yield before, held
+
+    def take(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whole subtrees, the largest first, of ``least`` entries or more: rows of ids (_END after the last) and their counts."""
+        by_depth: dict[int, list[tuple[tuple[int, ...], dict]]] = {1: []}
+        taken = 0
+        for first in list(self.root) if least >= self.entries else self.largest():
+            if taken >= least:
+                break
+            held = self.root.pop(first)
+            if type(held) is not _Node:
+                by_depth[1].append(((first,), held))
+                taken += len(held)
+                continue
+            for before, below in self._leaves(held, (first,)):
+                by_depth.setdefault(len(before), []).append((before, below))
+                taken += len(below)
+        self.entries -= taken
+        rows, counts = [np.zeros((0, self.size), dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for depth, leaves in by_depth.items():
+            if not leaves:
+                continue
+            sizes = [len(held) for _, held in leaves]
+            left = self.size - depth
+            rests = np.fromiter(chain.from_iterable(held for _, held in leaves), np.int64 if left < 3 else object, sum(sizes))
+            own = np.full((len(rests), self.size), _END, dtype=np.int64)
+            own[:, :depth] = np.repeat(np.array([before for before, _ in leaves], dtype=np.int64), sizes, axis=0)
+            there = rests != _END
+            for i in range(left):
+                own[there, depth + i] = (rests[there] >> (_ID_BITS * (left - 1 - i))) & ((1 << _ID_BITS) - 1)
+            rows.append(own)
+            counts.append(np.fromiter(chain.from_iterable(held.values() for _, held in leaves), np.int64, len(rests)))
+        return np.concatenate(rows), np.concatenate(counts)
 
 
 class _Counter:
@@ -115,6 +153,13 @@ class _Counter:
     def __init__(self, size: int) -> None:
         self.size = size
         self.tries: dict[str, tuple[Vocabulary, HatTrie]] = {}
+        self.words: Counter[str] = Counter()
+
+    def totals(self) -> pa.RecordBatch:
+        """The words of each language, under the key of the empty phrase."""
+        return pa.record_batch(
+            {"key": pa.array([_TAB + lang for lang in self.words], pa.string()), "n": pa.array(list(self.words.values()), pa.int64())}
+        )
 
     def of(self, lang: str) -> tuple[Vocabulary, HatTrie]:
         if lang not in self.tries:
@@ -130,36 +175,50 @@ class _Counter:
         """Sorted runs of the largest subtrees, half the entries at least; or of all of them, then words start afresh."""
         for lang, (words, trie) in list(self.tries.items()):
             whole = everything or len(words) > VOCABULARY
-            names, goal, run = list(words), 0 if whole else trie.entries // 2, []
-            for first in list(trie.root) if whole else trie.largest():
-                if not whole and trie.entries <= goal:
-                    break
-                run += [(b" ".join([names[i] for i in ids]), len(ids), n) for ids, n in trie.take(first)]
-            run.sort()
-            for at in range(0, len(run), _RUN_ROWS):
-                phrases, sizes, counts = zip(*run[at : at + _RUN_ROWS], strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(phrases), pa.string()),
-                        pa.array([p.decode("utf-8") for p in phrases], pa.string()),
-                        pa.array(sizes, pa.int32()),
-                        pa.array(counts, pa.int64()),
-                    ],
-                    names=["lang", "phrase", "words", "n"],
-                )
+            rows, counts = trie.take(trie.entries if whole else trie.entries // 2)
+            names = list(words)
+            ranks = np.zeros(len(names) + 1, dtype=np.int64)  # the last one is for no word
+            used = np.unique(rows[rows != _END]).tolist()
+            ranks[sorted(used, key=names.__getitem__)] = np.arange(1, len(used) + 1)
+            if self.size == 2:
+                order = np.argsort((ranks[rows[:, 0]] << _ID_BITS) | ranks[rows[:, 1]])
+            else:
+                order = np.lexsort([ranks[rows[:, i]] for i in range(self.size - 1, -1, -1)])
+            rows, counts, names = rows[order], counts[order], pa.array(names, pa.string())
+            for at in range(0, len(rows), _RUN_ROWS):
+                own, n = rows[at : at + _RUN_ROWS], counts[at : at + _RUN_ROWS]
+                parts = [names.take(pa.array(own[:, i], mask=own[:, i] == _END)) for i in range(self.size)]
+                phrases = pc.binary_join_element_wise(*parts, " ", null_handling="skip")
+                keys = pc.binary_join_element_wise(phrases, lang, _TAB)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(n)], names=["key", "n"])
             if whole:
                 del self.tries[lang]
 
 
-def _place(lang: bytes, phrase: bytes) -> int:
-    return zlib.crc32(lang + b"\0" + phrase) & ((1 << FILTER_BITS) - 1)
+# The filter's hash of a phrase folds the hashes of its words; every step fits 63 bits in numpy and in Spark.
+_FOLD_BITS, _FOLD_BY, _FOLD_DOWN = 30, 1_000_003, 20
+
+
+def _place(lang: str, marks: list[np.ndarray]) -> np.ndarray:
+    x = np.full(len(marks[0]), zlib.crc32(lang.encode("utf-8")), dtype=np.int64)
+    for own in marks:
+        x = (x & ((1 << _FOLD_BITS) - 1)) * _FOLD_BY + own
+    return (x ^ (x >> _FOLD_DOWN)) & ((1 << FILTER_BITS) - 1)
 
 
 def _filter(frequent: DataFrame) -> np.ndarray:
     """A bit for the hash of each phrase of ``frequent``, in a fixed number of bytes."""
-    place = F.crc32(F.concat(F.encode("lang", "UTF-8"), F.lit(b"\0"), F.encode("phrase", "UTF-8"))).bitwiseAND((1 << FILTER_BITS) - 1)
-    set_bits = frequent.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")
+    fold = F.aggregate(
+        F.split("phrase", " "),
+        F.crc32("lang"),
+        lambda x, w: x.bitwiseAND((1 << _FOLD_BITS) - 1) * F.lit(_FOLD_BY).cast("long") + F.crc32(w),
+    )
+    place = F.col("x").bitwiseXOR(F.shiftright("x", _FOLD_DOWN)).bitwiseAND((1 << FILTER_BITS) - 1)
+    set_bits = (
+        frequent.select(fold.alias("x"))
+        .select(place.alias("place"))
+        .groupBy(F.shiftright("place", 6).alias("at"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
     )
     bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
     rows = set_bits.toPandas()  # as many rows as the filter has words, at most
@@ -167,64 +226,92 @@ def _filter(frequent: DataFrame) -> np.ndarray:
     return bits.view(np.uint8)
 
 
-def _runs(docs: DataFrame, size: int, part: np.ndarray | None) -> DataFrame:
-    """``lang, phrase, words, n``: counts per task of words and pairs, or of the ``size``-word phrases whose parts are in the filter."""
-
-    def pairs(words: Vocabulary, trie: HatTrie, pieces: list[bytes]) -> None:
-        for piece in pieces:
-            ids = [words[w] for w in piece.split()]
-            if ids:
-                trie.add(ids, [_END] * len(ids))
-                trie.add(ids, ids[1:])
-
-    def longer(words: Vocabulary, trie: HatTrie, pieces: list[bytes], known: dict, lang: bytes) -> None:
-        for piece in pieces:
-            own = piece.split()
-            n = len(own) - size + 1
-            if n < 1:
-                continue
-            good = []
-            for i in range(n + 1):
-                key = b" ".join(own[i : i + size - 1])
-                ok = known.get(key)
-                if ok is None:
-                    at = _place(lang, key)
-                    ok = known[key] = bool((part[at >> 3] >> (at & 7)) & 1)
-                good.append(ok)
-            firsts, rests = [], []
-            for i in range(n):
-                if good[i] and good[i + 1]:
-                    rest = 0
-                    for w in own[i + 1 : i + size]:
-                        rest = (rest << _ID_BITS) | words[w]
-                    firsts.append(words[own[i]])
-                    rests.append(rest)
-            trie.add(firsts, rests)
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """Words of one language with _STOP between pieces of text and at the end, about _CHUNK of them at once."""
+    held: dict[str, list[bytes]] = {}
+    for batch in batches:
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
+            own = held.setdefault(lang, [])
+            own += text.translate(_LOWER_AND_STOP).replace(_STOP, b" " + _STOP + b" ").split()
+            own.append(_STOP)
+            start = 0
+            while len(own) - start >= _CHUNK:
+                # a very long text is handed over in parts that end between pieces
+                end = own.index(_STOP, start + _CHUNK - 1) + 1
+                yield lang, own[start:end]
+                start = end
+            if start:
+                held[lang] = own[start:]
+    yield from held.items()
+
+
+def _add_pairs(trie: HatTrie, ids: np.ndarray, piece: np.ndarray) -> None:
+    """Count the words and the pairs of a chunk of text, in the order of their first words."""
+    single, n = np.unique(ids, return_counts=True)
+    trie.add(single.tolist(), repeat(_END), n.tolist())
+    inside = piece[:-1] == piece[1:]
+    pairs, n = np.unique((ids[:-1][inside] << _ID_BITS) | ids[1:][inside], return_counts=True)
+    trie.add((pairs >> _ID_BITS).tolist(), (pairs & ((1 << _ID_BITS) - 1)).tolist(), n.tolist())
+
+
+def _add_longer(words: Vocabulary, trie: HatTrie, ids: np.ndarray, piece: np.ndarray, lang: str, known: np.ndarray) -> None:
+    """Count the phrases of a chunk whose first and last parts, one word shorter, are both in the filter."""
+    n = len(ids) - trie.size + 1
+    if n < 1:
+        return
+    marks = np.array(words.marks, dtype=np.int64)[ids]
+    at = _place(lang, [marks[i : n + 1 + i] for i in range(trie.size - 1)])
+    good = (known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    found = np.flatnonzero(good[:-1] & good[1:] & (piece[:n] == piece[trie.size - 1 :]))
+    wide = ids if trie.size < 4 else ids.astype(object)
+    rests = wide[found + 1]
+    for i in range(2, trie.size):
+        rests = (rests << _ID_BITS) | wide[found + i]
+    trie.add(ids[found].tolist(), rests.tolist(), repeat(1))
+
+
+def _runs(docs: DataFrame, size: int, known: np.ndarray | None) -> DataFrame:
+    """``key, n``: counts per task of words and pairs, or of the ``size``-word phrases whose parts are in the filter.
+
+    A key is a phrase and its language, so that the runs of a prefix lie together.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, known = _Counter(size), {}
-        for batch in batches:
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                pieces = _BREAK.split(text.encode("utf-8").lower())
-                # a very long text is taken in parts, so that the tries can be spilled in between
-                for at in range(0, len(pieces), 4096):
-                    words, trie = counter.of(lang)
-                    if part is None:
-                        pairs(words, trie, pieces[at : at + 4096])
-                    else:
-                        if sum(map(len, known.values())) > VOCABULARY:
-                            known.clear()
-                        longer(words, trie, pieces[at : at + 4096], known.setdefault(lang, {}), lang.encode("utf-8"))
-                    if counter.full():
-                        yield from counter.spill(False)
+        counter = _Counter(size)
+        for lang, own in _chunks(batches):
+            words, trie = counter.of(lang)
+            ids = np.fromiter(map(words.__getitem__, own), np.int64, len(own))
+            stops = ids == _STOP_ID
+            piece = np.cumsum(stops)[~stops]
+            ids = ids[~stops]
+            counter.words[lang] += len(ids)
+            if known is None:
+                _add_pairs(trie, ids, piece)
+            else:
+                _add_longer(words, trie, ids, piece, lang, known)
+            if counter.full():
+                yield from counter.spill(False)
         yield from counter.spill(True)
+        if known is None:
+            yield counter.totals()
 
-    return docs.mapInArrow(scan, "lang string, phrase string, words int, n long")
+    return docs.mapInArrow(scan, "key string, n long")
 
 
-def _merged(runs: DataFrame) -> DataFrame:
-    """Whole counts, merged by ranges of phrases."""
-    return runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+def _merged(runs: DataFrame, least: int) -> DataFrame:
+    """``lang, phrase, words, n``: whole counts of ``least`` or more, merged by ranges of phrases."""
+    runs = runs.filter(~F.col("key").startswith(_TAB))
+    whole = runs.repartitionByRange("key").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    phrase = F.substring_index("key", _TAB, 1)
+    return materialize(
+        whole.select(
+            F.substring("key", F.length(phrase) + 2, F.length("key")).alias("lang"),
+            phrase.alias("phrase"),
+            F.size(F.split(phrase, " ")).alias("words"),
+            "n",
+        ),
+        "frequent-phrases",
+    )
 
 
 def count_phrases(docs: DataFrame, most_words: int, least: int) -> tuple[DataFrame, DataFrame]:
@@ -233,13 +320,13 @@ def count_phrases(docs: DataFrame, most_words: int, least: int) -> tuple[DataFra
     ``docs`` has ``lang, text`` without nulls.
     """
     runs = materialize_texts(_runs(docs, 2, None), "phrase-runs")
-    totals = materialize(runs.filter("words = 1").groupBy("lang").agg(F.sum("n").alias("n")), "language-words")
-    frequent = materialize(_merged(runs).filter(F.col("n") >= least), "frequent-phrases")
+    lang = F.substring("key", F.lit(2), F.length("key"))
+    totals = runs.filter(F.col("key").startswith(_TAB)).groupBy(lang.alias("lang")).agg(F.sum("n").alias("n"))
+    totals = materialize(totals, "language-words")
+    frequent = _merged(runs, least)
     for size in range(3, most_words + 1):
         known = _filter(frequent.filter(F.col("words") == size - 1))
-        runs = materialize_texts(_runs(docs, size, known), "phrase-runs")
-        longer = materialize(_merged(runs).filter(F.col("n") >= least), "frequent-phrases")
-        frequent = frequent.unionByName(longer)
+        frequent = frequent.unionByName(_merged(materialize_texts(_runs(docs, size, known), "phrase-runs"), least))
     return frequent, totals
 
 

@@ -133,16 +133,28 @@ def best_phrases(rows, first=2000, least=10):
     return sorted(out)
 
 
+def _runs_of(text, size):
+    out = []
+    for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+        w = re.findall(r"[^\x20\x09]+", piece)
+        out += [" ".join(w[i : i + size]) for i in range(len(w) - size + 1)]
+    return out
+
+
 def test_collocations(spark, rows):
     rng = random.Random(3)
     words = [rng.choice("abcdé") + rng.choice("xyz\x1c ") for _ in range(8)]
-    own = rows + [(100 + i, ", ".join(prose(rng, rng.randint(1, 9), words) for _ in range(6)), "fr", 0, None, None) for i in range(60)]
+    own = rows + [(100 + i, ", ".join(prose(rng, rng.randint(1, 9), words) for _ in range(6)), "fr" if i % 9 else "a b\tc", 0, None, None) for i in range(60)]
     docs = spark.createDataFrame(own, DOCS).repartition(3)
     columns = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     got = sorted(tuple(r[c] for c in columns) for r in collocations.collocations(docs).collect())
     assert got == best_phrases(own) and got
     few = sorted(tuple(r[c] for c in columns) for r in collocations.collocations(docs, first=3, least=2).collect())
     assert few == best_phrases(own, 3, 2)
+    longer = collocations.collocations(docs, most_words=5, least=3, inside=101).filter("size(split(phrase, ' ')) > 3")
+    counts = Counter(w for r in own if r[2] == "fr" for w in _runs_of(r[1], 4) + _runs_of(r[1], 5))
+    got = {r.phrase: r.a for r in longer.filter("lang = 'fr'").collect()}
+    assert got == {w: a for w, a in counts.items() if a >= 3}
     assert collocations.collocations(docs.limit(0)).count() == 0
 
 
@@ -155,23 +167,23 @@ def test_trie(monkeypatch):
 
     def read(batches):
         for b in batches:
-            phrases = b["phrase"].to_pylist()
+            phrases = b["key"].to_pylist()
             assert phrases == sorted(phrases, key=lambda p: p.encode())
-            for p, k, n in zip(phrases, b["words"].to_pylist(), b["n"].to_pylist(), strict=True):
-                assert k == 4
-                got[p] += n
+            for p, n in zip(phrases, b["n"].to_pylist(), strict=True):
+                assert p.endswith("\ten")
+                got[p[:-3]] += n
 
     for step in range(20):
         words, trie = counter.of("en")
         for _ in range(100):
             own = [rng.choice("abcdefgh").encode() * rng.randint(1, 2) for _ in range(4)]
             ids = [words[w] for w in own]
-            trie.add([ids[0]], [(ids[1] << 64) | (ids[2] << 32) | ids[3]])
+            trie.add([ids[0]], [(ids[1] << 64) | (ids[2] << 32) | ids[3]], [1])
             want[b" ".join(own).decode()] += 1
         if step % 4 == 0:
             before = trie.entries
             read(counter.spill(False))
-            assert trie.entries <= before // 2 + 1
+            assert trie.entries <= before - before // 2
     assert any(type(held) is collocations._Node for held in counter.of("en")[1].root.values())
     read(counter.spill(True))
     assert got == want
@@ -236,7 +248,6 @@ def test_intervals():
     for dims in (1, 3, 64, 100):
         vectors = np.concatenate([rng.integers(-300, 300, (80, dims)), np.zeros((2, dims)), rng.integers(-1, 2, (20, dims))]).astype(np.int64)
         asked, codes = negatives.Anchors(vectors[::7]), negatives.Codes(vectors)
-        for i, anchor in enumerate(vectors[::7]):
-            low, high = asked.interval(i, codes)
-            exact = vectors @ anchor
-            assert (low <= exact).all() and (exact <= high).all()
+        low, high = asked.intervals(codes)
+        exact = vectors[::7] @ vectors.T
+        assert (low <= exact).all() and (exact <= high).all()
