@@ -82,20 +82,21 @@ class Anchors:
             planes[j, :, : self.dims] = (levels >> j) & 1
         self.planes = np.packbits(planes, axis=2).view(np.uint64).reshape(PLANES, n, -1)
 
-    def interval(self, i: int, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
-        """Bounds on the inner products of anchor ``i`` with the vectors."""
-        ones = np.zeros(len(codes.length), dtype=np.int64)
-        for j in range(PLANES):
-            ones += np.bitwise_count(codes.bits & self.planes[j, i]).sum(axis=1, dtype=np.int64) << j
+    def intervals(self, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds on the inner product of every anchor with every vector."""
+        ones = np.zeros((len(self.length), len(codes.length)), dtype=np.int64)
+        for plane, own in enumerate(self.planes):
+            for word in range(own.shape[1]):
+                ones += np.bitwise_count(codes.bits[None, :, word] & own[:, None, word]).astype(np.int64) << plane
         positive = np.bitwise_count(codes.bits).sum(axis=1, dtype=np.int64)
         # sum over signs of the held coordinates, as a product with the unit sign vector
-        signed = self.step[i] * (2 * ones - self.total[i]) + self.least[i] * (2 * positive - self.dims)
+        signed = self.step[:, None] * (2 * ones - self.total[:, None]) + np.outer(self.least, 2 * positive - self.dims)
         along = signed / np.sqrt(self.dims)
         estimate = along * codes.alignment * codes.length
         # the parts of both that are at a right angle to the sign vector, and the anchor's quantisation error
-        across = np.sqrt(np.maximum(self.held_length[i] ** 2 - along**2, 0)) * codes.length
-        error = across * np.sqrt(1 - codes.alignment**2) + self.lost[i] * codes.length
-        error += _SLACK * (self.length[i] + 1) * (codes.length + 1) * np.sqrt(self.dims)
+        across = np.sqrt(np.maximum(self.held_length[:, None] ** 2 - along**2, 0))
+        error = across * (np.sqrt(1 - codes.alignment**2) * codes.length) + np.outer(self.lost, codes.length)
+        error += _SLACK * np.sqrt(self.dims) * np.outer(self.length + 1, codes.length + 1)
         return estimate - error, estimate + error
 
 
@@ -157,23 +158,6 @@ def _meet(anchors: DataFrame, blocks: DataFrame, scan, schema: str, name: str) -
         return materialize(pairs.mapInPandas(scan, schema), name)
 
 
-class _Floors:
-    """The k-th best sure lower bound of each row of the anchor block at hand, rising as blocks pass."""
-
-    def __init__(self, k: int) -> None:
-        self.k, self.at, self.best = k, None, {}
-
-    def of(self, block: tuple, key) -> float:
-        if self.at != block:
-            self.at, self.best = block, {}
-        own = self.best.get(key)
-        return -np.inf if own is None or len(own) < self.k else own[0]
-
-    def raise_to(self, key, scores: np.ndarray) -> None:
-        own = np.concatenate((self.best.get(key, np.zeros(0, dtype=np.int64)), scores))
-        self.best[key] = np.sort(own)[-self.k :]
-
-
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best, ties to the smaller id."""
     if len(scores) > k:
@@ -183,26 +167,66 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
 
 
-def _positives(anchors: DataFrame, blocks: DataFrame, dims: int, k: int) -> DataFrame:
-    """``anchor_id, positive_id, positive_score``: the k best other rows of an anchor's label."""
+class _Found:
+    """The best rows so far of each key of the anchors at hand."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.rows = k, {}
+
+    def floor(self, key) -> float:
+        """What a score must reach to count."""
+        own = self.rows.get(key)
+        return -np.inf if own is None or len(own[0]) < self.k else own[0][-1]
+
+    def add(self, key, scores: np.ndarray, ids: np.ndarray) -> None:
+        before = self.rows.get(key)
+        if before is not None:
+            scores, ids = np.concatenate((before[0], scores)), np.concatenate((before[1], ids))
+        best = _best(scores, ids, self.k)
+        self.rows[key] = scores[best], ids[best]
+
+    def frame(self, names: list[str]) -> pd.DataFrame:
+        """A row for each score, with the columns ``names`` of its key."""
+        held = [len(scores) for scores, _ in self.rows.values()]
+        keys = np.repeat(np.array(list(self.rows), dtype=np.int64).reshape(-1, len(names)), held, axis=0)
+        out = pd.DataFrame(keys, columns=names)
+        out["id"] = np.concatenate([ids for _, ids in self.rows.values()])
+        out["score"] = np.concatenate([scores for scores, _ in self.rows.values()])
+        return out
+
+
+def _scanner(visit, k: int, names: list[str]):
+    """A task: ``visit`` each pair of blocks; the best rows of an anchor block are handed out once it has met the part's vectors."""
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        floors = _Floors(k)
+        found, at = _Found(k), None
         for frame in parts:
             for pair in frame.itertuples():
-                vectors, ids, labels = _ids(pair.vectors).reshape(-1, dims), _ids(pair.ids), _ids(pair.labels)
-                asked, q_ids, q_labels = _ids(pair.q_vectors).reshape(-1, dims), _ids(pair.q_ids), _ids(pair.q_labels)
-                codes, quantised, out = Codes(vectors), Anchors(asked), []
-                for i, anchor in enumerate(asked):
-                    floor = floors.of((pair.part, pair.query), i)
-                    _, upper = quantised.interval(i, codes)
-                    at = np.flatnonzero((labels == q_labels[i]) & (ids != q_ids[i]) & (upper >= floor))
-                    scores = _scores(anchor, vectors[at])
-                    best = _best(scores, ids[at], k)
-                    floors.raise_to(i, scores[best])
-                    out.append(pd.DataFrame({"anchor_id": q_ids[i], "id": ids[at][best], "score": scores[best]}))
-                yield pd.concat(out)
+                if at != (pair.part, pair.query):
+                    if found.rows:
+                        yield found.frame(names)
+                    found, at = _Found(k), (pair.part, pair.query)
+                visit(pair, found)
+        if found.rows:
+            yield found.frame(names)
+
+    return scan
+
+
+def _positives(anchors: DataFrame, blocks: DataFrame, dims: int, k: int) -> DataFrame:
+    """``anchor_id, positive_id, positive_score``: the k best other rows of an anchor's label."""
 
+    def visit(pair, found: _Found) -> None:
+        vectors, ids, labels = _ids(pair.vectors).reshape(-1, dims), _ids(pair.ids), _ids(pair.labels)
+        asked, q_ids, q_labels = _ids(pair.q_vectors).reshape(-1, dims), _ids(pair.q_ids), _ids(pair.q_labels)
+        _, upper = Anchors(asked).intervals(Codes(vectors))
+        floors = np.array([found.floor((q,)) for q in q_ids.tolist()])
+        maybe = (labels == q_labels[:, None]) & (ids != q_ids[:, None]) & (upper >= floors[:, None])
+        for i in np.flatnonzero(maybe.any(axis=1)).tolist():
+            at = np.flatnonzero(maybe[i])
+            found.add((int(q_ids[i]),), _scores(asked[i], vectors[at]), ids[at])
+
+    scan = _scanner(visit, k, ["anchor_id"])
     found = _meet(anchors, blocks, scan, "anchor_id long, id long, score long", "positives")
     best = top_k(found, k, "anchor_id", [F.desc("score"), F.asc("id")])
     return best.select("anchor_id", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
@@ -211,35 +235,27 @@ def _positives(anchors: DataFrame, blocks: DataFrame, dims: int, k: int) -> Data
 def _negatives(anchors: DataFrame, blocks: DataFrame, dims: int, k: int, least: int, most: int) -> DataFrame:
     """``anchor_id, positive_score, id, score``: the k best rows of other labels in the band of each positive score."""
 
-    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        floors = _Floors(k)
-        for frame in parts:
-            for pair in frame.itertuples():
-                vectors, ids, labels = _ids(pair.vectors).reshape(-1, dims), _ids(pair.ids), _ids(pair.labels)
-                asked, q_ids, q_labels = _ids(pair.q_vectors).reshape(-1, dims), _ids(pair.q_ids), _ids(pair.q_labels)
-                bands = np.split(np.asarray(pair.q_extra, dtype=np.int64), np.cumsum(pair.q_held)[:-1])
-                codes, quantised, out = Codes(vectors), Anchors(asked), []
-                for i, anchor in enumerate(asked):
-                    lower, upper = quantised.interval(i, codes)
-                    other = labels != q_labels[i]
-                    for positive in (int(x) for x in bands[i]):
-                        low = max(least * positive / 100, floors.of((pair.part, pair.query), (i, positive)))
-                        maybe = other & (upper >= low - 1) & (lower <= most * positive / 100 + 1)
-                        at = np.flatnonzero(maybe)
-                        scores = _scores(anchor, vectors[at])
-                        # the ends of the band in integers, whatever their size
-                        inside = (scores >= -(-least * positive // 100)) & (scores <= most * positive // 100)
-                        at, scores = at[inside], scores[inside]
-                        best = _best(scores, ids[at], k)
-                        floors.raise_to((i, positive), scores[best])
-                        out.append(
-                            pd.DataFrame(
-                                {"anchor_id": q_ids[i], "positive_score": positive, "id": ids[at][best], "score": scores[best]}
-                            )
-                        )
-                if out:
-                    yield pd.concat(out)
-
+    def visit(pair, found: _Found) -> None:
+        vectors, ids, labels = _ids(pair.vectors).reshape(-1, dims), _ids(pair.ids), _ids(pair.labels)
+        asked, q_ids, q_labels = _ids(pair.q_vectors).reshape(-1, dims), _ids(pair.q_ids), _ids(pair.q_labels)
+        bands = np.split(np.asarray(pair.q_extra, dtype=np.int64), np.cumsum(pair.q_held)[:-1])
+        lower, upper = Anchors(asked).intervals(Codes(vectors))
+        for i, anchor in enumerate(asked):
+            keys = [(int(q_ids[i]), positive) for positive in bands[i].tolist()]
+            lows = np.array([max(least * p / 100 - 1, found.floor((q, p))) for q, p in keys])
+            highs = np.array([most * p / 100 + 1 for _, p in keys])
+            # scored once for all bands that may hold it
+            at = np.flatnonzero((labels != q_labels[i]) & (upper[i] >= lows.min()) & (lower[i] <= highs.max()))
+            if not len(at):
+                continue
+            scores = _scores(anchor, vectors[at])
+            for (q, positive), low in zip(keys, lows.tolist(), strict=True):
+                # the ends of the band in integers, whatever their size
+                inside = (scores >= -(-least * positive // 100)) & (scores <= most * positive // 100) & (scores >= low)
+                if inside.any():
+                    found.add((q, positive), scores[inside], ids[at[inside]])
+
+    scan = _scanner(visit, k, ["anchor_id", "positive_score"])
     found = _meet(anchors, blocks, scan, "anchor_id long, positive_score long, id long, score long", "negatives")
     return top_k(found, k, ["anchor_id", "positive_score"], [F.desc("score"), F.asc("id")])
 
