@@ -1,9 +1,14 @@
 """Encoding into pieces of a SentencePiece vocabulary by streaming Viterbi, and decoding.
 
-The ids of a text are the segmentation with the largest sum of piece scores, as in the
-unigram model. The search reads the text once and keeps the last few positions only:
-as soon as the back pointers of all positions that a later piece can start from meet in one
-boundary, everything before it is settled and its ids are committed.
+The scores of a unigram vocabulary are log-probabilities: the ids of a text are the segmentation
+with the largest sum. Those of a merge vocabulary are ranks, and no sum of them means anything:
+the ids are what merging the best-ranked neighbours, the leftmost of equals, leaves in the end. A
+segmentation is that one exactly if merging any two neighbouring pieces on their own gives these two
+pieces, so the search allows only such neighbours, and one path leads to each position.
+
+Either way the text is read once and only the last few positions are kept: as soon as the back
+pointers of all positions that a later piece can start from meet in one boundary, everything
+before it is settled and its ids are committed.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from sentencepiece import SentencePieceProcessor
 from lorequery.llm.common import materialize_texts
 
 MARK = "▁"
-#: Words whose ids a worker remembers, and the longest of them.
+#: Words whose ids a worker remembers, and the longest of them; as many pairs of neighbours.
 REMEMBERED, REMEMBERED_CHARS = 500_000, 32
 #: A character without a piece costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -31,9 +36,12 @@ _LOOK = 4
 
 
 class PieceVocabulary:
-    """Pieces, scores and byte pieces of a model file; ``encode`` and ``decode`` on one text."""
+    """Pieces, scores and byte pieces of a model file; ``encode`` and ``decode`` on one text.
+
+    ``ranked`` tells that scores are merge ranks; by default they are if all are whole numbers.
+    """
 
-    def __init__(self, model_path: str) -> None:
+    def __init__(self, model_path: str, ranked: bool | None = None) -> None:
         model = SentencePieceProcessor(model_file=model_path)
         self.names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.bytes: dict[int, int] = {}
@@ -44,6 +52,8 @@ class PieceVocabulary:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.scores[name] = (model.get_score(i), i)
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.ranked = all(score == int(score) for score, _ in self.scores.values()) if ranked is None else ranked
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.unknown = model.unk_id()
         self.longest = max(map(len, self.scores))
         self.penalty = min(score for score, _ in self.scores.values()) - UNKNOWN_PENALTY
@@ -60,9 +70,34 @@ class PieceVocabulary:
             return [self.unknown]
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
 
+    def _merged(self, text: str) -> list[str]:
+        """What merging leaves of a short text: each time the best pair, the leftmost of equals."""
+        scores, symbols = self.scores, list(text)
+        while len(symbols) > 1:
+            best, at = _NEVER, -1
+            for i in range(len(symbols) - 1):
+                hit = scores.get(symbols[i] + symbols[i + 1])
+                if hit is not None and hit[0] > best:
+                    best, at = hit[0], i
+            if at < 0:
+                break
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        return symbols
+
+    def follows(self, before: str, piece: str) -> bool:
+        """Whether merging leaves ``before`` and ``piece`` side by side; nothing is before the first piece."""
+        known = self.pairs.get((before, piece))
+        if known is None:
+            if len(self.pairs) >= REMEMBERED:
+                self.pairs.clear()
+            known = self._merged(before + piece) == ([before, piece] if before else [piece])
+            self.pairs[before, piece] = known
+        return known
+
     def viterbi(self, text: str) -> Iterator[list[int]]:
-        """Committed ids of ``text`` in order, run by run; ties prefer the longer last piece."""
-        scores, prefixes, penalty = self.scores, self.prefixes, self.penalty
+        """Committed ids of ``text`` in order, run by run; equal sums prefer the longer last piece."""
+        scores, prefixes, ranked, follows = self.scores, self.prefixes, self.ranked, self.follows
+        penalty = 0.0 if ranked else self.penalty
         size, look = len(text), _LOOK * self.longest
         first = 0  # position of best[0]; everything before it is committed
         # reachable ends are filled ahead of the reading position, so the window is a look plus a piece wide
@@ -71,13 +106,14 @@ class PieceVocabulary:
         while start < size:
             at = start - first
             here = best[at]
+            before = text[back[at] : start] if ranked else ""
             if at + 1 == len(best):
                 best.append(_NEVER)
                 back.append(0)
                 ids.append(-1)
             end = start + 1
             piece = text[start:end]
-            if piece not in scores and here + penalty > best[at + 1]:
+            if piece not in scores and here + penalty > best[at + 1] and (not ranked or follows(before, piece)):
                 best[at + 1], back[at + 1], ids[at + 1] = here + penalty, start, -1
             while piece in prefixes:
                 hit = scores.get(piece)
@@ -86,7 +122,10 @@ class PieceVocabulary:
                     best.append(_NEVER)
                     back.append(0)
                     ids.append(-1)
-                if hit is not None and here + hit[0] > best[to]:
+                if ranked:
+                    if hit is not None and best[to] == _NEVER and follows(before, piece):
+                        best[to], back[to], ids[to] = 0.0, start, hit[1]
+                elif hit is not None and here + hit[0] > best[to]:
                     best[to], back[to], ids[to] = here + hit[0], start, hit[1]
                 if end >= size:
                     break

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -313,7 +314,8 @@ def test_pieces(docs, empty):
     assert Counter(r.text for r in back.collect()) == Counter(r.text or "" for r in docs.collect())
     assert pieces.piece_digests(docs, path).filter("round_trip").count() == docs.count()
     assert pieces.piece_digests(empty, path).count() == 0
-    own = pieces.vocabulary(path)
+    # scores as log-probabilities: against a search that keeps all positions
+    own = pieces.PieceVocabulary(path, ranked=False)
     rng = random.Random(3)
     for _ in range(60):
         text = "".join(rng.choice("theoninst ▁abé€\U0001f600aaaa") for _ in range(rng.randint(1, 400)))
@@ -333,6 +335,30 @@ def test_pieces(docs, empty):
         assert streamed == want
 
 
+def test_pieces_are_those_of_the_library(spark, docs):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own, library = pieces.vocabulary(path), SentencePieceProcessor(model_file=path)
+    assert own.ranked
+    rng = random.Random(5)
+    letters = ["theoninst abé€\U0001f600aaaa", "    ab", "aaaa", "\n\t<s>unk0xA1 ▁", "引き日本語 的", "estionra  in"]
+    texts = ["".join(rng.choice(chosen) for _ in range(rng.randint(0, 300))) for chosen in letters * 60]
+    texts += ["a" * 50_000, " " * 5_000, "estion" * 20_000, "\x00", "é" * 700]
+    for text in texts:
+        want = library.encode(text)
+        assert own.encode(text) == want
+        # the whole text as one stretch, settled run by run
+        runs = list(own.viterbi(pieces.MARK + text.replace(" ", pieces.MARK))) if text else []
+        assert [i for run in runs for i in run] == want
+        assert len(text) < 1000 or text.isspace() or max(map(len, runs)) < 200
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text_of = {r.doc_id: r.text or "" for r in small.collect()}
+    encoded = {r.doc_id: list(r.ids) for r in pieces.encode_pieces(small, path).collect()}
+    assert encoded == {i: library.encode(text) for i, text in text_of.items()}
+    digests = {r.doc_id: (r.n_ids, r.ids_crc32) for r in pieces.piece_digests(small, path).collect()}
+    assert digests == {i: (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())) for i, ids in encoded.items()}
+
+
+
 def test_pipeline(spark, tmp_path, docs, empty):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
