@@ -21,7 +21,7 @@ from lorequery.plans.build import add_to_index, build_index
 from lorequery.session import materialize, scratch_path, spread
 from lorequery.sources.collection import add_documents, document_ids, to_documents
 from lorequery.sources.events import add_event_files, fold_events, read_event_files, token_events
-from lorequery.sources.faq_csv import normalize_qa, preprocess_csv, write_qa_csv
+from lorequery.sources.faq_csv import normalize_qa, preprocess_csv, preprocess_splits, write_qa_csv
 from lorequery.sources.tables import row_count
 from lorequery.streaming.history import number_exchanges, numbered_exchanges, session_history
 from lorequery.streaming.requests import answer_stream, read_exchanges
@@ -79,6 +79,19 @@ def csv_round_trip(spark, sf_dir):
     )
 
 
+def csv_splits(spark, sf_dir):
+    """Questions and answers on several lines, with quotes in them, written as CSV and read in splits."""
+    path = scratch_path(spark, "csv")
+    lines = F.concat("answer", F.lit('\n"'), "question", F.lit('",\n\n'), "answer")
+    rows = qa_pairs(spark, sf_dir).select("doc_pos", F.col("question").alias("Question"), lines.alias("Answer"))
+    write_qa_csv(rows, path)
+    return preprocess_splits(spark, path).select(
+        F.col("doc_pos").cast("long").alias("doc_pos"),
+        F.col("Question").alias("question"),
+        F.col("Answer").alias("answer"),
+    )
+
+
 def doc_ids(spark, sf_dir):
     pairs = qa_pairs(spark, sf_dir).select("doc_pos", "question")
     numbered = number_rows(pairs, [F.asc("doc_pos")], "doc_ids", "position")
@@ -479,6 +492,7 @@ def stream_answers(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "faq_normalize": faq_normalize,
     "csv_round_trip": csv_round_trip,
+    "csv_splits": csv_splits,
     "doc_ids": doc_ids,
     "tokens": tokens,
     "bm25_term_freq": bm25_term_freq,

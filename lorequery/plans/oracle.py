@@ -177,6 +177,9 @@ _TOP_DOCS = _ranked("lexical", "score DESC, doc_pos DESC").replace("doc_pos, sco
 SQL: dict[str, str] = {
     "faq_normalize": f"WITH {CORPUS} SELECT doc_pos, question, answer FROM corpus",
     "csv_round_trip": f"WITH {CORPUS} SELECT doc_pos, question, answer FROM corpus",
+    "csv_splits": f"""WITH {CORPUS}, several AS (
+    SELECT doc_pos, p.answer || chr(10) || '"' || p.question || '",' || chr(10) || chr(10) || p.answer AS answer FROM pairs p)
+  SELECT doc_pos, c.question, {_strip("s.answer")} AS answer FROM several s JOIN corpus c USING (doc_pos)""",
     "doc_ids": f"""WITH {PAIRS} SELECT doc_pos,
   'qa_' || CAST(row_number() OVER (ORDER BY doc_pos) - 1 AS VARCHAR) AS id, question FROM pairs""",
     "tokens": f"""SELECT doc_id, CAST(generate_subscripts(words, 1) - 1 AS INTEGER) AS pos, unnest(words) AS token
