@@ -31,6 +31,8 @@ REMEMBERED, REMEMBERED_CHARS = 500_000, 32
 #: A character without a piece costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 _NEVER = float("-inf")
+#: A piece that no longer one begins with, and one that some do; 0 is the beginning of pieces only.
+_ENDS, _GOES_ON = 1, 2
 #: Positions between two looks for a common boundary, in lengths of the longest piece.
 _LOOK = 4
 
@@ -53,13 +55,18 @@ class PieceVocabulary:
                 self.scores[name] = (model.get_score(i), i)
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.ranked = all(score == int(score) for score, _ in self.scores.values()) if ranked is None else ranked
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         self.unknown = model.unk_id()
         self.longest = max(map(len, self.scores))
         self.penalty = min(score for score, _ in self.scores.values()) - UNKNOWN_PENALTY
         # no piece goes on with a mark after another character: a word is then a stretch of its own
         self.splits = not any(MARK in name.lstrip(MARK) for name in self.scores)
         self.prefixes = {name[:n] for name in self.scores for n in range(1, len(name) + 1)}
+        within = {name[:n] for name in self.scores for n in range(1, len(name))}
+        self.kinds = {p: (_GOES_ON if p in within else _ENDS) if p in self.scores else 0 for p in self.prefixes}
+        for char in {c for name in self.scores for c in name[0]} - set(self.scores):
+            self.kinds[char] = _GOES_ON
         self.surfaces = [name.replace(MARK, " ") for name in self.names]
         self.byte_ids = set(self.byte_of)
         self.known: dict[str, tuple[int, ...]] = {}
@@ -84,20 +91,75 @@ class PieceVocabulary:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def follows(self, before: str, piece: str) -> bool:
-        """Whether merging leaves ``before`` and ``piece`` side by side; nothing is before the first piece."""
-        known = self.pairs.get((before, piece))
-        if known is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            known = self._merged(before + piece) == ([before, piece] if before else [piece])
-            self.pairs[before, piece] = known
-        return known
+    def _learn(self, before: str, piece: str) -> bool:
+        """Find out and remember whether merging leaves ``before`` and ``piece`` side by side.
+
+        Nothing is before the first piece of a text.
+        """
+        if self.n_pairs >= REMEMBERED:
+            self.pairs.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        meet = self._merged(before + piece) == ([before, piece] if before else [piece])
+        self.pairs.setdefault(before, {})[piece] = meet
+        return meet
+
+    def _neighbours(self, text: str) -> Iterator[list[int]]:
+        """``viterbi`` over merge ranks: the window holds the one piece that the path to each position ends with."""
+        kinds, pairs, nothing = self.kinds, self.pairs, {}
+        size, look = len(text), _LOOK * self.longest
+        first = 0  # position of last[0]; everything before it is committed
+        last: list[str | None] = [None] * (min(size, look + self.longest) + 1)
+        last[0] = ""
+        for start in range(size):
+            if start - first >= look:
+                fronts = {first + i for i in range(start - first, len(last)) if last[i] is not None}
+                while len(fronts) > 1:
+                    at = max(fronts)
+                    fronts.remove(at)
+                    fronts.add(max(first, at - len(last[at - first])))
+                meet = min(fronts.pop(), start)
+                if meet > first:
+                    yield self._ids(last, meet - first)
+                    last = last[meet - first :] + [None] * (meet - first)
+                    first = meet
+            before = last[start - first]
+            known = pairs.get(before, nothing)
+            to, piece = start + 1 - first, text[start]
+            # a character is a symbol of its own, whether it has a piece or not
+            kind = kinds.get(piece, _ENDS)
+            while kind is not None:
+                if kind and last[to] is None:
+                    meets = known.get(piece)
+                    if meets or (meets is None and self._learn(before, piece)):
+                        last[to] = piece
+                if kind == _ENDS or first + to >= size:
+                    break
+                to += 1
+                piece = text[start : first + to]
+                kind = kinds.get(piece)
+        yield self._ids(last, size - first)
+
+    def _ids(self, last: list[str | None], end: int) -> list[int]:
+        path = []
+        while end > 0:
+            path.append(last[end])
+            end -= len(last[end])
+        scores, out = self.scores, []
+        for piece in reversed(path):
+            hit = scores.get(piece)
+            if hit is not None:
+                out.append(hit[1])
+            else:
+                out += self._spell(piece)
+        return out
 
     def viterbi(self, text: str) -> Iterator[list[int]]:
         """Committed ids of ``text`` in order, run by run; equal sums prefer the longer last piece."""
-        scores, prefixes, ranked, follows = self.scores, self.prefixes, self.ranked, self.follows
-        penalty = 0.0 if ranked else self.penalty
+        if self.ranked:
+            yield from self._neighbours(text)
+            return
+        scores, prefixes, penalty = self.scores, self.prefixes, self.penalty
         size, look = len(text), _LOOK * self.longest
         first = 0  # position of best[0]; everything before it is committed
         # reachable ends are filled ahead of the reading position, so the window is a look plus a piece wide
@@ -106,14 +168,13 @@ class PieceVocabulary:
         while start < size:
             at = start - first
             here = best[at]
-            before = text[back[at] : start] if ranked else ""
             if at + 1 == len(best):
                 best.append(_NEVER)
                 back.append(0)
                 ids.append(-1)
             end = start + 1
             piece = text[start:end]
-            if piece not in scores and here + penalty > best[at + 1] and (not ranked or follows(before, piece)):
+            if piece not in scores and here + penalty > best[at + 1]:
                 best[at + 1], back[at + 1], ids[at + 1] = here + penalty, start, -1
             while piece in prefixes:
                 hit = scores.get(piece)
@@ -122,10 +183,7 @@ class PieceVocabulary:
                     best.append(_NEVER)
                     back.append(0)
                     ids.append(-1)
-                if ranked:
-                    if hit is not None and best[to] == _NEVER and follows(before, piece):
-                        best[to], back[to], ids[to] = 0.0, start, hit[1]
-                elif hit is not None and here + hit[0] > best[to]:
+                if hit is not None and here + hit[0] > best[to]:
                     best[to], back[to], ids[to] = here + hit[0], start, hit[1]
                 if end >= size:
                     break
