@@ -5,13 +5,15 @@ around pivot vectors. A question first visits its nearest cells; the distance
 of its k-th neighbour there, with the triangle inequality, rules out most other
 cells when the data has clusters, and the rest is visited in a second round. A
 cell meets its questions in blocks of bounded size on both sides, and each
-meeting returns k rows per question, never all pairs.
+meeting returns k rows per question, never all pairs. The cells of an index are
+folders: a round reads the cells that some question visits and no others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,9 @@ CELL_ROWS = 4096
 MAX_CELLS = 4096
 BLOCK_ROWS = 16384
 CHUNK_ROWS = 1024
-# questions compared at once with a block: bounds the matrix of distances
+# questions compared at once with a block, or with all pivots: bounds the matrix of distances
 SLICE_ROWS = 128
+PIVOT_SLICE_ROWS = 1024
 # Distances are ranked in units of the sixth decimal.
 _UNITS = 1e6
 _MARGIN = 2e-6
@@ -104,7 +107,7 @@ def build_vector_index(
         chosen = distinct_t.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_cells).select("embedding").collect()
         rows = [(i, [float(x) for x in row["embedding"]]) for i, row in enumerate(chosen)]
         spark.createDataFrame(rows, "cell int, pivot array<double>").write.parquet(f"{path}/{folder}/pivots")
-        segment = _write_points(distinct_t, path, folder, n_cells, f"{folder}/pivots")
+        segment = _write_points(distinct_t, path, folder, n_cells, f"{folder}/pivots", by_cell=True)
         content = {"n_cells": n_cells, "cell_rows": cell_rows, "pivots": f"{folder}/pivots", "segments": [segment]}
         commit(spark, path, content, held["version"] if held else 0)
     return open_vector_index(spark, path)
@@ -118,7 +121,7 @@ def add_vectors(vectors: DataFrame, path: str, id_col: str = "doc_pos") -> Vecto
     known = open_vector_index(spark, path, held["version"]).vectors.select(F.col("doc_pos").alias(id_col))
     folder = new_segment()
     distinct_t = _write_vectors(vectors.join(known, id_col, "left_anti"), f"{path}/{folder}", id_col)
-    segment = _write_points(distinct_t, path, folder, held["n_cells"], held["pivots"])
+    segment = _write_points(distinct_t, path, folder, held["n_cells"], held["pivots"], by_cell=False)
     if segment["n_points"]:
         commit(spark, path, {**held, "segments": [*held["segments"], segment]}, held["version"])
     return open_vector_index(spark, path)
@@ -138,8 +141,12 @@ def _write_vectors(vectors: DataFrame, folder: str, id_col: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/distinct")
 
 
-def _write_points(distinct_t: DataFrame, path: str, folder: str, n_cells: int, pivots: str) -> dict:
-    """Assign the distinct vectors of a segment to their cells; the segment's entry."""
+def _write_points(distinct_t: DataFrame, path: str, folder: str, n_cells: int, pivots: str, by_cell: bool) -> dict:
+    """Assign the distinct vectors of a segment to their cells; the segment's entry.
+
+    The cells of the first segment are folders. An addition is small beside it: its files are
+    sorted by cell, so that parts of them are skipped.
+    """
     spark = distinct_t.sparkSession
     if n_cells == 1:
         points = distinct_t.withColumns({"cell": F.lit(0), "radius": F.lit(0.0)})
@@ -148,7 +155,14 @@ def _write_points(distinct_t: DataFrame, path: str, folder: str, n_cells: int, p
         centres = np.array([row["pivot"] for row in spark.read.parquet(f"{path}/{pivots}").orderBy("cell").collect()])
         schema = StructType([*distinct_t.schema.fields]).add("cell", "integer").add("radius", "double")
         points = distinct_t.mapInArrow(_assign(centres), schema)
-    points.write.parquet(f"{path}/{folder}/points")
+    if n_cells > 1:
+        # balances the files of a cell by size, so that a large one fills several
+        points = points.hint("rebalance", "cell") if by_cell else points
+        points = points.sortWithinPartitions("cell")
+    if n_cells > 1 and by_cell:
+        points.write.partitionBy("cell").parquet(f"{path}/{folder}/points")
+    else:
+        points.write.parquet(f"{path}/{folder}/points")
     delete_tables(spark, [f"{path}/{folder}/distinct"])
     points_t = spark.read.parquet(f"{path}/{folder}/points")
     points_t.groupBy("cell").agg(
@@ -191,6 +205,11 @@ class _Map:
     near: np.ndarray
     far: np.ndarray
 
+    @cached_property
+    def apart(self) -> np.ndarray:
+        """Distances between pivots, worked out once per task."""
+        return np.sqrt(_squared(self.pivots, self.pivots))
+
     def first(self, away: np.ndarray, k: int, n_probe: int) -> np.ndarray:
         """Mask of each question's nearest cells: ``n_probe`` of them, more until they hold k vectors."""
         order = away.argsort(axis=1, kind="stable")
@@ -206,7 +225,7 @@ class _Map:
         least = np.maximum(away - self.far, self.near - away)
         # a member of a cell is nearer to its own pivot than to the question's nearest one
         home = away.argmin(1)
-        between = np.sqrt(_squared(self.pivots, self.pivots))[home]
+        between = self.apart[home]
         gap = away**2 - (away[np.arange(len(away)), home] ** 2)[:, None]
         split = np.where(between > 1e-3, gap / np.maximum(2.0 * between, 1e-3), 0.0)
         return np.maximum(least, split) <= limit[:, None]
@@ -227,10 +246,8 @@ def _visits(cell_map: _Map, k: int, n_probe: int, second_round: bool):
     """Cells each question visits: the first round's, or those it still has to see."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if not table.num_rows:
-                continue
+        for part in (b.slice(i, PIVOT_SLICE_ROWS) for b in batches for i in range(0, b.num_rows, PIVOT_SLICE_ROWS)):
+            table = pa.Table.from_batches([part])
             asked = _matrix(table["embedding"])
             away = np.sqrt(_squared(asked, cell_map.pivots))
             mask = cell_map.first(away, k, n_probe)
@@ -283,8 +300,12 @@ def _meet(index: VectorIndex, asked: DataFrame, visits: DataFrame, k: int) -> Da
     """Top k per question within each visited block: ``ask, vec_id, units``."""
     cores = index.points.sparkSession.sparkContext.defaultParallelism
     per_cell = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n_asked"))
+    visited = {r["cell"]: r["n_asked"] for r in per_cell.collect()}  # at most MAX_CELLS rows
+    points = index.points.select("cell", "vec_id", "embedding")
+    if len(visited) < index.n_cells:
+        points = points.filter(F.col("cell").isin(sorted(visited)))
     # small question sets are cut finer, so that every core has a share
-    total = visits.count()
+    total = sum(visited.values())
     rows = max(64, min(CHUNK_ROWS, -(-total // cores)))
     layout = F.broadcast(  # at most MAX_CELLS rows
         index.cells.join(per_cell, "cell").select(
@@ -294,8 +315,7 @@ def _meet(index: VectorIndex, asked: DataFrame, visits: DataFrame, k: int) -> Da
         )
     )
     blocks = (
-        index.points.select("cell", "vec_id", "embedding")
-        .join(layout, "cell")
+        points.join(layout, "cell")
         .withColumn("block", F.pmod(F.xxhash64("vec_id"), "n_blocks").cast("int"))
         .withColumn("chunk", F.explode(F.expr("sequence(0, n_chunks - 1)")))
         .select("cell", "block", "chunk", "vec_id", "embedding")

@@ -8,18 +8,22 @@ Search is exact and touches few postings of frequent terms:
   not read at all, or only down to a minimum impact;
 * what is left is pre-aggregated, cut by its best possible score, and only the
   survivors are scored in full.
+
+The postings of a large index lie in folders by term bucket and, for long lists, by
+impact band. A search reads the buckets of its terms, and of long lists only the bands
+that reach the impact some question asks for.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorequery.functions.text import tokens
 from lorequery.operators.ranking import number_rows, top_k
-from lorequery.session import materialize, side_by_side, spread
+from lorequery.session import delete_tables, materialize, side_by_side, spread
 from lorequery.sources.versions import commit, new_segment, read_version, segment_tables, united
 
 # Parameters of the scoring formula, and the places scores are rounded to
@@ -38,6 +42,11 @@ CHAMPIONS = 2
 SEED_TERMS = 8
 POSTINGS_PER_BUCKET = 64_000_000
 MAX_BUCKETS = 4096
+# Lists longer than this are kept in bands of equal width of their impact; short ones are read whole.
+BANDED_POSTINGS = 1_000_000
+MAX_BANDED_TERMS = 10_000
+BANDS = 8
+_BAND_WIDTH = (K1 + 1) / BANDS
 POSTINGS_PER_SALT = 1_000_000
 MAX_SALTED_TERMS = 10_000
 # So many top positions are broadcast; more are joined by shuffle.
@@ -124,7 +133,7 @@ class LexicalIndex:
     docs: DataFrame  # doc_pos, digest, dl, segment
     positions: DataFrame  # doc_pos, from_top (0 for the highest position of the segment), segment
     texts: DataFrame  # text_id, digest, n_copies, dl, segment
-    postings: DataFrame  # term_bucket, term, text_id, tf, dl, gain
+    postings: DataFrame  # term_bucket, band (BANDS for a list that is kept whole), term, text_id, tf, dl, gain
     terms: DataFrame  # term_bucket, term, df, n_texts, idf, max_gain, champions
     n_docs: int
     n_texts: int
@@ -135,6 +144,8 @@ class LexicalIndex:
     n_postings: int
     segment_docs: tuple[int, ...]
     version: int
+    banded_over: int  # lists with more texts may be in bands
+    growth: float  # the largest gain of a band is at most so many times its upper end
 
     @property
     def weights_may_be_negative(self) -> bool:
@@ -177,32 +188,52 @@ def _write_segment(source: DataFrame, folder: str, n_buckets: int | None, before
         buckets = n_buckets or min(MAX_BUCKETS, max(1, -(-n_tokens // POSTINGS_PER_BUCKET)))
         all_docs = n_docs + (before["n_docs"] if before else 0)
         avgdl = (n_tokens + (before["n_tokens"] if before else 0)) / all_docs if all_docs else 0.0
-        _write_postings(source, texts_t, folder, n_texts == n_docs, buckets, by_bucket=before is None)
+        rows = _posting_rows(source, texts_t, n_texts == n_docs, buckets)
+        figures = {"n_texts": n_texts, "n_docs": n_docs, "n_tokens": n_tokens, "avgdl": avgdl, "n_buckets": buckets}
+        if before is None and buckets > 1:
+            return figures | {"banded_over": _write_banded(rows, folder, avgdl)}
+        rows.withColumn("band", F.lit(BANDS)).write.parquet(f"{folder}/postings")
         _write_terms(spark.read.parquet(f"{folder}/postings"), folder, avgdl)
-        return {"n_texts": n_texts, "n_docs": n_docs, "n_tokens": n_tokens, "avgdl": avgdl, "n_buckets": buckets}
+        return figures
 
     _, figures = side_by_side(positions, texts)
     return figures
 
 
-def _write_postings(source: DataFrame, texts_t: DataFrame, folder: str, single: bool, n_buckets: int, by_bucket: bool) -> None:
-    """``term_bucket, term, text_id, n_copies, tf, dl`` of each text once; the buckets of a large table are folders."""
+def _posting_rows(source: DataFrame, texts_t: DataFrame, single: bool, n_buckets: int) -> DataFrame:
+    """``term_bucket, term, text_id, n_copies, tf, dl`` of each text once."""
     if single:
         distinct = source.select(F.col("doc_pos").alias("text_id"), "tokens", F.lit(1).cast("long").alias("n_copies"))
     else:
         distinct = source.withColumnRenamed("doc_pos", "text_id").join(texts_t.select("text_id", "n_copies"), "text_id")
-    rows = (
+    return (
         _exploded(distinct)
         .groupBy("text_id", "n_copies", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
         .withColumn("term_bucket", _bucket(F.col("term"), n_buckets))
     )
-    if by_bucket and n_buckets > 1:
-        # balances the files of a bucket by size, so that a frequent term fills several
-        rows = rows.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term")
-        rows.write.partitionBy("term_bucket").parquet(f"{folder}/postings")
-    else:
-        rows.write.parquet(f"{folder}/postings")
+
+
+def _write_banded(rows: DataFrame, folder: str, avgdl: float) -> int:
+    """Write terms, and postings in folders by bucket and band; the length beyond which lists are in bands."""
+    spark = rows.sparkSession
+    draft = f"{folder}/unbanded"
+    rows.write.parquet(draft)
+    draft_t = spark.read.parquet(draft)
+    _write_terms(draft_t, folder, avgdl)
+    terms_t = spark.read.parquet(f"{folder}/terms")
+    n_postings = terms_t.agg(F.sum("n_texts")).first()[0]
+    over = max(BANDED_POSTINGS, n_postings // MAX_BANDED_TERMS)
+    keys = ["term_bucket", "term"]
+    # fewer than MAX_BANDED_TERMS lists can be longer than that
+    long_lists = F.broadcast(terms_t.filter(F.col("n_texts") > over).select(*keys, F.lit(True).alias("long")))
+    band = F.least(F.lit(BANDS - 1), F.floor(_gain(F.col("tf"), F.col("dl"), avgdl) / _BAND_WIDTH).cast("int"))
+    banded = draft_t.join(long_lists, keys, "left").withColumn("band", F.when(F.col("long"), band).otherwise(F.lit(BANDS)))
+    # balances the files of a folder by size, so that a frequent term fills several
+    placed = banded.drop("long").hint("rebalance", "term_bucket", "band").sortWithinPartitions("term_bucket", "band", "term")
+    placed.write.partitionBy("term_bucket", "band").parquet(f"{folder}/postings")
+    delete_tables(spark, [draft])
+    return over
 
 
 def _write_terms(postings_t: DataFrame, folder: str, avgdl: float) -> None:
@@ -315,7 +346,7 @@ def open_lexical_index(spark: SparkSession, path: str, version: int | None = Non
         docs=tables("docs"),
         positions=tables("positions"),
         texts=tables("texts"),
-        postings=postings.select("term_bucket", "term", "text_id", "tf", "dl", "gain"),
+        postings=postings.select("term_bucket", "band", "term", "text_id", "tf", "dl", "gain"),
         terms=_merged_terms(spark, path, segments, n_docs, avgdl),
         n_docs=n_docs,
         n_texts=sum(s["n_texts"] for s in segments),
@@ -326,9 +357,39 @@ def open_lexical_index(spark: SparkSession, path: str, version: int | None = Non
         n_postings=held["n_postings"],
         segment_docs=tuple(s["n_docs"] for s in segments),
         version=held["version"],
+        banded_over=segments[0].get("banded_over", 0),
+        growth=max(1.0, avgdl / segments[0]["avgdl"]) if segments[0]["avgdl"] else 1.0,
     )
 
 
+def _in_buckets(index: LexicalIndex, terms: DataFrame) -> LexicalIndex:
+    """The index with the postings of the buckets that ``terms`` are in."""
+    if index.n_buckets == 1:
+        return index
+    buckets = sorted(r["term_bucket"] for r in terms.select("term_bucket").distinct().collect())  # MAX_BUCKETS at most
+    return replace(index, postings=index.postings.filter(F.col("term_bucket").isin(buckets)))
+
+
+def _in_bands(index: LexicalIndex, read: DataFrame) -> LexicalIndex:
+    """The index with the postings of ``read`` that can have an impact over ``miss``: whole folders are left out.
+
+    A list that is kept whole is read whole. Of the long lists of a bucket those bands are read that
+    one of its terms needs: a band's gains are below its upper end, grown with the mean length.
+    """
+    if index.n_buckets == 1:
+        return index
+    # a band more than needed where rounding could matter
+    lowest = F.floor(F.col("miss") / (F.col("weight") * index.growth * _BAND_WIDTH) - 1e-6).cast("int")
+    lowest = F.when(F.col("n_texts") > index.banded_over, F.greatest(F.lit(0), F.least(F.lit(BANDS - 1), lowest))).otherwise(BANDS)
+    # MAX_BUCKETS rows at most
+    rows = read.groupBy("term_bucket").agg(F.min(lowest).alias("lowest")).collect()
+    wanted = F.lit(False)
+    for band in sorted({r["lowest"] for r in rows}):
+        buckets = sorted(r["term_bucket"] for r in rows if r["lowest"] == band)
+        wanted = wanted | (F.col("term_bucket").isin(buckets) & (F.col("band") >= band))
+    return replace(index, postings=index.postings.filter(wanted))
+
+
 def _rounded(score: Column) -> Column:
     return F.round(score, SCORE_DIGITS)
 
@@ -430,12 +491,15 @@ def _score_promising(index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame
         )
         .withColumn("missed", F.sum("miss").over(whole))
     )
-    read = planned.filter(F.col("most") > F.col("miss")).select(
-        "ask", "term_bucket", "term", "weight", "miss", "missed", "floor"
+    read = materialize(
+        planned.filter(F.col("most") > F.col("miss")).select(
+            "ask", "term_bucket", "term", "weight", "n_texts", "miss", "missed", "floor"
+        ),
+        "read_terms",
     )
     impact = F.col("weight") * F.col("gain")
     partial = (
-        _matching_postings(index, read)
+        _matching_postings(_in_bands(index, read), read.drop("n_texts"))
         .filter(impact > F.col("miss"))
         .groupBy("ask", "text_id")
         .agg(
@@ -519,6 +583,7 @@ def bm25_search(
         F.col("query_id").alias("ask"), "digest", "tokens"
     )
     terms = materialize(_question_terms(index, asked), "question_terms")
+    index = _in_buckets(index, terms)
     order = [F.desc("score"), F.desc("text_id")]
     if k < 1:
         raise ValueError("k must be at least 1")

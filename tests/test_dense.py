@@ -38,6 +38,28 @@ def test_search_equals_brute_force(spark, tmp_path, monkeypatch, cell_rows, bloc
     assert got == nearest(vectors, questions, k)
 
 
+def test_only_visited_cells_are_read(spark, tmp_path, monkeypatch):
+    vectors, path = clustered(5, 900), str(tmp_path / "v")
+    one = {1: list(vectors.values())[5]}
+    plans, nearest_of = [], dense._meet
+
+    def spy(index, asked, visits, k):
+        out = nearest_of(index, asked, visits, k)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(dense, "_meet", spy)
+    index, got = search(spark, vectors, one, 3, path, 30)
+    assert got == nearest(vectors, one, 3) and index.n_cells == 30
+    assert len(list(tmp_path.glob("v/**/points/cell=*"))) > 20
+    for plan in plans:
+        assert "NestedLoopJoin" not in plan
+        assert "PartitionFilters: [" in plan and "cell" in plan.split("PartitionFilters: [", 1)[1].split("]")[0]
+    more = {i + 1: v for i, v in clustered(6, 300).items()}
+    dense.add_vectors(frame(spark, more, "doc_pos"), path)
+    assert search(spark, vectors, one, 3, path)[1] == nearest(vectors | more, one, 3)
+
+
 def test_more_neighbours_than_vectors(spark, tmp_path):
     vectors = {i: [float(i), 0.0] for i in range(5)}
     for rows in (4096, 2):

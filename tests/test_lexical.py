@@ -56,6 +56,52 @@ def test_pruning_on_frequent_terms(spark, tmp_path, seed):
     assert got == bm25(documents, questions, 5)
 
 
+@pytest.fixture
+def banded(monkeypatch):
+    monkeypatch.setattr(lexical, "POSTINGS_PER_BUCKET", 4000)
+    monkeypatch.setattr(lexical, "BANDED_POSTINGS", 40)
+    monkeypatch.setattr(lexical, "MAX_BANDED_TERMS", 10**9)
+
+
+@pytest.mark.parametrize("first", [1, 2])
+def test_bands_equal_brute_force(spark, tmp_path, banded, first):
+    """All at once, and every second document first; what is added makes the mean length grow."""
+    documents = random_texts(5, 900, 50, 25, copies=0.1)
+    documents |= {i: f"{t} {t} {t}" for i, t in documents.items() if i % 2}
+    questions = dict(enumerate(random_texts(6, 40, 60, 6, copies=0.0).values())) | {100: "w0", 101: "w0 w1", 102: "w49 w0"}
+    path = str(tmp_path / "i")
+    lexical.build_lexical_index(corpus(spark, {i: t for i, t in documents.items() if i % first == 0}), path)
+    if first > 1:
+        assert lexical.add_to_lexical_index(corpus(spark, documents), path).growth > 1
+    folders = {f.parent.name for f in tmp_path.glob("i/**/term_bucket=*/band=*/*.parquet")}
+    assert f"band={lexical.BANDS}" in folders and len(folders) > 3
+    for k in (1, 4):
+        for direct_hits in (0, 10**9):
+            _, got = search(spark, documents, questions, k, path, direct_hits=direct_hits)
+            assert got == bm25(documents, questions, k)
+
+
+def test_low_bands_are_not_read(spark, tmp_path, monkeypatch, banded):
+    documents = random_texts(7, 3000, 300, 15, copies=0.0)
+    seen, in_bands = [], lexical._in_bands
+
+    def spy(index, read):
+        out = in_bands(index, read)
+        plan = out.postings._jdf.queryExecution().executedPlan().toString()
+        long_lists = [df.filter(F.col("band") < lexical.BANDS) for df in (out.postings, index.postings)]
+        seen.append((*[df.count() for df in long_lists], index.postings.count(), plan))
+        return out
+
+    monkeypatch.setattr(lexical, "_in_bands", spy)
+    questions = {1: "w0", 2: "w1"}
+    index, got = search(spark, documents, questions, 2, str(tmp_path / "i"), direct_hits=0)
+    assert got == bm25(documents, questions, 2)
+    some, asked, whole, plan = seen[0]
+    assert some < asked / 2 and whole < index.postings.count()
+    filters = plan[plan.index("PartitionFilters: [") :].split("PushedFilters")[0]
+    assert "term_bucket" in filters and "band" in filters
+
+
 @pytest.mark.parametrize(
     "documents",
     [
