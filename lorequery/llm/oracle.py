@@ -154,9 +154,60 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM (
 ) JOIN totals USING (lang) WHERE rank <= 2000
 """
 
+_JACCARD = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_TEXT}, '{_WORDS}') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS shingle
+  FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM sets a JOIN sets b USING (shingle)
+  WHERE a.doc_id <> b.doc_id GROUP BY x, y
+), links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * shared >= 75 * (p.n + q.n - shared)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+# bytes are pairs of hexadecimal digits
+_REPEATS = """
+WITH bytes AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), blocks AS (
+  SELECT doc_id, block, substr(h, 2 * block + 1, 1198) AS part
+  FROM (SELECT *, unnest(range(0, len(h) // 2 - 99, 500)) AS block FROM bytes WHERE len(h) >= 200)
+), strings AS (
+  SELECT doc_id, block + o AS i, row_number() OVER (PARTITION BY md5_number(substr(part, 2 * o + 1, 200)) ORDER BY doc_id, block + o) > 1 AS again
+  FROM (SELECT *, unnest(range(len(part) // 2 - 99)) AS o FROM blocks)
+), starts AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM strings WHERE again
+), numbered AS (
+  SELECT doc_id, i, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts
+), runs AS (
+  SELECT doc_id, run, min(i) AS s, max(i) + 100 AS e FROM numbered GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS upto FROM runs
+), cut AS (
+  SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, max(e) AS upto,
+    string_agg(substr(h, 2 * upto + 1, 2 * (s - upto)), '' ORDER BY s) AS kept
+  FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(upto, 0) + 1))) AS kept_sha256
+FROM bytes LEFT JOIN cut USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
     "op1_topk": _TOPK,
+    "op4_jaccard": _JACCARD,
     "op7_rules": _RULES,
+    "op9_repeats": _REPEATS,
     "op11_collocations": _COLLOCATIONS,
     "op12_decontaminate": _DECONTAMINATE,
     "op13_negatives": _NEGATIVES,
