@@ -150,3 +150,34 @@ def test_numbering_is_dense_and_ordered(spark):
     rows = number_rows(df, [F.desc("v")], "n", "p").orderBy("p").collect()
     assert [r.p for r in rows] == list(range(1000))
     assert [r.v for r in rows] == [3 * i for i in range(999, -1, -1)]
+
+
+def test_terms_of_a_text_are_counted_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, ["ü", "a", "A"])], "doc_pos long, tokens array<string>")
+    packed = lexical.packed_texts(df)
+    assert "Exchange" not in packed._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_pos, r.dl, r.words, tuple(r.tfs)) for r in packed.collect()} == {
+        (1, 3, "a b", (1, 2)), (2, 0, "", ()), (3, 3, "A a ü", (1, 1, 1)),
+    }
+    rows = {(r.doc_pos, r.term, r.tf) for r in lexical.unpacked(packed, "doc_pos").collect()}
+    assert rows == {(1, "a", 1), (1, "b", 2), (3, "ü", 1), (3, "a", 1), (3, "A", 1)}
+
+
+@pytest.mark.parametrize("direct_hits", [0, 10**9])
+def test_a_meeting_returns_k_rows_per_question(spark, tmp_path, monkeypatch, direct_hits):
+    """Pairs of questions and texts that share a word are not shuffled, on either way."""
+    monkeypatch.setattr(lexical, "BLOCK_POSTINGS", 900)
+    monkeypatch.setattr(lexical, "CHUNK_QUESTIONS", 50)
+    documents, seen, meet = random_texts(31, 400, 30, 15, copies=0.0), [], lexical._meet
+
+    def spy(*args):
+        out = meet(*args)
+        seen.append((out.groupBy("ask").count().agg(F.max("count")).first()[0], args[4]))
+        return out
+
+    monkeypatch.setattr(lexical, "_meet", spy)
+    index, got = search(spark, documents, documents, 2, str(tmp_path / "i"), direct_hits=direct_hits)
+    assert got == bm25(documents, documents, 2)
+    n_blocks = 2 ** 6  # more than are cut here
+    assert seen and all(most is None or most <= k * n_blocks for most, k in seen)
+    assert max(most or 0 for most, _ in seen) < index.n_texts
