@@ -28,3 +28,13 @@ def test_query(spark, database, name):
         columns = out.columns
         assert sorted(df.columns) == sorted(columns)
         assert got == rows(columns, out.fetchall())
+
+
+def test_stream_answers_reads_a_table_that_is_a_folder(spark, tmp_path):
+    from lorequery.plans.catalog import QUERIES as found
+
+    rows = [(c, t, "assistant" if t % 2 else "user", f"w{c} w{t} w{c * t % 3}") for c in range(3) for t in range(4)]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    table.repartition(2).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.request_id, r.user) for r in found["stream_answers"](spark, str(tmp_path)).collect()}
+    assert got == {(str(c * 1000 + t), text) for c, t, role, text in rows if role == "user"}
