@@ -97,3 +97,30 @@ def test_model_embedder_loads_once_per_task(spark):
 
     df = spark.createDataFrame([("aa",), ("b",), (None,)], "t string")
     assert [r.embedding for r in model_embedder(load)(df, "t").collect()] == [[2.0, 2.0], [1.0, 0.0], [0.0, 0.0]]
+
+
+def test_cells_are_visited_together_by_many_questions(spark, tmp_path, monkeypatch):
+    """As many rows are moved as there are groups for each question, not cells."""
+    seen, meet = [], dense._meet
+
+    def spy(index, asked, visits, k):
+        seen.append(visits.count())
+        return meet(index, asked, visits, k)
+
+    monkeypatch.setattr(dense, "_meet", spy)
+    rng = np.random.default_rng(8)
+    vectors = {i: np.round(rng.normal(size=6), 2).astype("float32") for i in range(600)}
+    index, got = search(spark, vectors, vectors, 3, str(tmp_path / "v"), 10)
+    assert got == nearest(vectors, vectors, 3)
+    assert index.n_cells == 60 and sum(seen) <= 600 * 4
+
+
+def test_distances_to_pivots_are_worked_out_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(dense, "PIVOT_DISTANCES", 1000)
+    sizes, squared = [], dense._squared
+    monkeypatch.setattr(dense, "_squared", lambda a, b: sizes.append(len(a) * len(b)) or squared(a, b))
+    rows = pa.record_batch({"embedding": pa.array([[float(i), 1.0] for i in range(500)])})
+    out = list(dense._assign(np.arange(20.0).reshape(10, 2))(iter([rows])))
+    assert sum(b.num_rows for b in out) == 500 and max(sizes) <= 1000
