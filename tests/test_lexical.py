@@ -181,3 +181,12 @@ def test_a_meeting_returns_k_rows_per_question(spark, tmp_path, monkeypatch, dir
     n_blocks = 2 ** 6  # more than are cut here
     assert seen and all(most is None or most <= k * n_blocks for most, k in seen)
     assert max(most or 0 for most, _ in seen) < index.n_texts
+
+
+def test_rows_of_one_position_add_up(spark, tmp_path):
+    """Equal rows, and different texts of one length at one position."""
+    rows = [(1, "a b"), (1, "a b"), (2, "a c"), (2, "d c"), (3, "e"), (4, "f g h"), (5, "i j")]
+    df = spark.createDataFrame(rows, "doc_pos long, question string")
+    index = lexical.build_lexical_index(df, str(tmp_path / "i"))
+    found = {(r.text_id, r.term, r.tf) for r in index.postings.collect()}
+    assert (1, "a", 2) in found and (2, "c", 4) in found and (3, "e", 1) in found
