@@ -1,3 +1,4 @@
+import json
 import os
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lorequery.sources import csv_splits, faq_csv, tables
 from lorequery.sources.collection import add_documents, read_collection, to_documents
-from lorequery.sources.events import add_event_files, fold_events, read_event_files, read_lines, token_events, write_events
+from lorequery.sources.events import add_event_files, fold_events, parsed_event, read_event_files, read_lines, token_events, write_events
 from lorequery.streaming.events import fold_stream, read_folded
 from lorequery.operators.embedding import hash_embedder
 
@@ -125,6 +126,39 @@ def test_event_files(spark, tmp_path):
     assert folded == {1: "a b", 2: "", None: 'say "x" ü'}
 
 
+def test_event_files_are_parsed_once(spark, tmp_path):
+    path = str(tmp_path / "e")
+    answers = spark.createDataFrame([(i, "s", f"a{i} b") for i in range(40)], "request int, session_id string, answer string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        add_event_files(token_events(answers, "request", "session_id"), path, "request", n_files=2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    back = read_event_files(spark, path, "request int")
+    # all tasks write, not only as many as there are files at least
+    assert back.select(F.col("request"), F.input_file_name().alias("file")).select("file").distinct().count() > 2
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(StructField(answer") == 1
+    assert {r.request: r.final for r in fold_events(back, "request").collect()} == {i: f"a{i} b" for i in range(40)}
+
+
+def test_lines_left_out_unparsed_are_no_objects(spark):
+    texts = ["}{", "a}{b", 'q"}{"', "\\}{", '\\"}{', "", "{", "}", "' "]
+    lines = [json.dumps({key: text}) for key in ("token", "final") for text in texts] + [
+        "{}", "{ }", '{\t"token":"x"}', ' {"token":"x"}  ', '\t{"token":"x"}', "{'token':'x'}", '{token:"x"}', "{", "}", "{}{}",
+        '{"token":"x"}{"token":"y"}', '{"token":"x"} {"token":"y"}', '{"token":"x"},{"token":"y"}', '{"a":{"b":"}{"},"token":"x"}',
+        '{"a":"\\"}{","token":"x"}', '{"token":1}', '{"token":null}', '[{"token":"x"}]', "", " ", None, '{"token":"x"',
+    ]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    bare, kind = F.trim("line"), "array<struct<token: string, final: string>>"
+    found = F.from_json(F.concat(F.lit("["), "line", F.lit("]")), kind, {"allowSingleQuotes": "false"})
+    whole = (F.size("found") == 1) & bare.startswith("{") & bare.endswith("}")
+    want = df.select("i", "line", found.alias("found")).select("i", F.when(whole, F.get("found", F.lit(0))).alias("event"))
+    got = df.select("i", parsed_event(F.col("line")).alias("event"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_fold_of_a_stream(spark, tmp_path):
     source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     schema = spark.createDataFrame([], "request int, pos int, json string").schema
