@@ -31,8 +31,6 @@ REMEMBERED, REMEMBERED_CHARS = 500_000, 32
 #: A character without a piece costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 _NEVER = float("-inf")
-#: A piece that no longer one begins with, and one that some do; 0 is the beginning of pieces only.
-_ENDS, _GOES_ON = 1, 2
 #: Positions between two looks for a common boundary, in lengths of the longest piece.
 _LOOK = 4
 
@@ -55,6 +53,7 @@ class PieceVocabulary:
                 self.scores[name] = (model.get_score(i), i)
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.ranked = all(score == int(score) for score, _ in self.scores.values()) if ranked is None else ranked
+        self.ranks = {name: score for name, (score, _) in self.scores.items()}
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
         self.unknown = model.unk_id()
@@ -63,10 +62,13 @@ class PieceVocabulary:
         # no piece goes on with a mark after another character: a word is then a stretch of its own
         self.splits = not any(MARK in name.lstrip(MARK) for name in self.scores)
         self.prefixes = {name[:n] for name in self.scores for n in range(1, len(name) + 1)}
-        within = {name[:n] for name in self.scores for n in range(1, len(name))}
-        self.kinds = {p: (_GOES_ON if p in within else _ENDS) if p in self.scores else 0 for p in self.prefixes}
-        for char in {c for name in self.scores for c in name[0]} - set(self.scores):
-            self.kinds[char] = _GOES_ON
+        # a node: those one character further, and the piece that ends here; a character is a symbol of its own
+        self.tree: dict[str, tuple[dict, str | None]] = {}
+        for name in sorted(self.scores, key=len):
+            nodes = self.tree
+            for n in range(1, len(name)):
+                nodes = nodes.setdefault(name[n - 1], ({}, name[0] if n == 1 else None))[0]
+            nodes[name[-1]] = ({}, name)
         self.surfaces = [name.replace(MARK, " ") for name in self.names]
         self.byte_ids = set(self.byte_of)
         self.known: dict[str, tuple[int, ...]] = {}
@@ -79,16 +81,16 @@ class PieceVocabulary:
 
     def _merged(self, text: str) -> list[str]:
         """What merging leaves of a short text: each time the best pair, the leftmost of equals."""
-        scores, symbols = self.scores, list(text)
-        while len(symbols) > 1:
-            best, at = _NEVER, -1
-            for i in range(len(symbols) - 1):
-                hit = scores.get(symbols[i] + symbols[i + 1])
-                if hit is not None and hit[0] > best:
-                    best, at = hit[0], i
-            if at < 0:
-                break
+        score, symbols = self.ranks.get, list(text)
+        ranks = [score(a + b, _NEVER) for a, b in zip(symbols, symbols[1:])]
+        while ranks and (best := max(ranks)) > _NEVER:
+            at = ranks.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = score(symbols[at - 1] + symbols[at], _NEVER)
+            if at < len(ranks):
+                ranks[at] = score(symbols[at] + symbols[at + 1], _NEVER)
         return symbols
 
     def _learn(self, before: str, piece: str) -> bool:
@@ -106,8 +108,8 @@ class PieceVocabulary:
 
     def _neighbours(self, text: str) -> Iterator[list[int]]:
         """``viterbi`` over merge ranks: the window holds the one piece that the path to each position ends with."""
-        kinds, pairs, nothing = self.kinds, self.pairs, {}
-        size, look = len(text), _LOOK * self.longest
+        tree, pairs, nothing = self.tree, self.pairs, {}
+        size, longest, look = len(text), self.longest, _LOOK * self.longest
         first = 0  # position of last[0]; everything before it is committed
         last: list[str | None] = [None] * (min(size, look + self.longest) + 1)
         last[0] = ""
@@ -125,19 +127,18 @@ class PieceVocabulary:
                     first = meet
             before = last[start - first]
             known = pairs.get(before, nothing)
-            to, piece = start + 1 - first, text[start]
-            # a character is a symbol of its own, whether it has a piece or not
-            kind = kinds.get(piece, _ENDS)
-            while kind is not None:
-                if kind and last[to] is None:
+            nodes, to = tree, start - first
+            for char in text[start : start + longest]:
+                # a character that begins no piece is a symbol too
+                node = nodes.get(char) or ((nothing, char) if nodes is tree else None)
+                if node is None:
+                    break
+                nodes, piece = node
+                to += 1
+                if piece is not None and last[to] is None:
                     meets = known.get(piece)
                     if meets or (meets is None and self._learn(before, piece)):
                         last[to] = piece
-                if kind == _ENDS or first + to >= size:
-                    break
-                to += 1
-                piece = text[start : first + to]
-                kind = kinds.get(piece)
         yield self._ids(last, size - first)
 
     def _ids(self, last: list[str | None], end: int) -> list[int]:
@@ -155,10 +156,11 @@ class PieceVocabulary:
         return out
 
     def viterbi(self, text: str) -> Iterator[list[int]]:
-        """Committed ids of ``text`` in order, run by run; equal sums prefer the longer last piece."""
-        if self.ranked:
-            yield from self._neighbours(text)
-            return
+        """Committed ids of ``text`` in order, run by run."""
+        return self._neighbours(text) if self.ranked else self._sums(text)
+
+    def _sums(self, text: str) -> Iterator[list[int]]:
+        """``viterbi`` over log-probabilities; equal sums prefer the longer last piece."""
         scores, prefixes, penalty = self.scores, self.prefixes, self.penalty
         size, look = len(text), _LOOK * self.longest
         first = 0  # position of best[0]; everything before it is committed
@@ -218,7 +220,8 @@ class PieceVocabulary:
 
     def _word(self, word: str) -> tuple[int, ...]:
         """Ids of a mark and a word, which no piece reaches out of."""
-        own = tuple(i for run in self.viterbi(MARK + word) for i in run)
+        runs = list(self.viterbi(MARK + word))
+        own = tuple(runs[0]) if len(runs) == 1 else tuple(i for run in runs for i in run)
         if len(word) <= REMEMBERED_CHARS:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()

@@ -358,6 +358,19 @@ def test_pieces_are_those_of_the_library(spark, docs):
     assert digests == {i: (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())) for i, ids in encoded.items()}
 
 
+def test_pieces_are_found_without_cutting_the_text_at_each():
+    class Text(str):
+        cuts = 0
+
+        def __getitem__(self, key):
+            Text.cuts += 1
+            return super().__getitem__(key)
+
+    own = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    text = pieces.MARK + "reconsiderations\u20ac\U0001f600estionra\ue000x" * 30
+    assert [i for run in own.viterbi(Text(text)) for i in run] == [i for run in own.viterbi(text) for i in run]
+    assert Text.cuts == len(text)
+
 
 def test_pipeline(spark, tmp_path, docs, empty):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
