@@ -143,6 +143,18 @@ def test_event_files_are_parsed_once(spark, tmp_path):
     assert {r.request: r.final for r in fold_events(back, "request").collect()} == {i: f"a{i} b" for i in range(40)}
 
 
+def test_event_files_take_less_room_than_their_lines(spark, tmp_path):
+    path = str(tmp_path / "e")
+    answers = spark.createDataFrame([(i, "s", " ".join(f"w{j % 9}" for j in range(i))) for i in range(200)], "request int, session_id string, answer string")
+    events = token_events(answers, "request", "session_id")
+    add_event_files(events, path, "request", n_files=2)
+    raw = sum(len(r.json) for r in events.collect())
+    stored = sum(f.stat().st_size for f in (tmp_path / "e").rglob("lines/part-*"))
+    assert 0 < stored < raw / 4
+    back = read_event_files(spark, path, "request int")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, events.select("request", "pos", "json").collect()))
+
+
 def test_lines_left_out_unparsed_are_no_objects(spark):
     texts = ["}{", "a}{b", 'q"}{"', "\\}{", '\\"}{', "", "{", "}", "' "]
     lines = [json.dumps({key: text}) for key in ("token", "final") for text in texts] + [
