@@ -4,6 +4,8 @@ import pytest
 from brute import nearest
 from lorequery.operators import dense
 from lorequery.operators.embedding import hash_embedder, model_embedder
+from lorequery.session import materialize
+from pyspark.sql import functions as F
 
 
 def frame(spark, vectors, name):
@@ -124,3 +126,21 @@ def test_distances_to_pivots_are_worked_out_in_slices(monkeypatch):
     rows = pa.record_batch({"embedding": pa.array([[float(i), 1.0] for i in range(500)])})
     out = list(dense._assign(np.arange(20.0).reshape(10, 2))(iter([rows])))
     assert sum(b.num_rows for b in out) == 500 and max(sizes) <= 1000
+
+
+def test_questions_and_visits_are_not_broadcast(spark, tmp_path):
+    """Regular visits and equal vectors take next to no room on disk: their size there says nothing about memory."""
+    rows = spark.range(6000).select("id", F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.rand(3).cast("float") + i).alias("embedding"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    vectors = spark.read.parquet(str(tmp_path / "rows"))
+    index = dense.build_vector_index(vectors, str(tmp_path / "v"), "id")
+    found = dense.dense_search(index, vectors.withColumnRenamed("id", "query_id"), 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in next(line for line in plan.splitlines() if "Join" in line)
+    asked = materialize(vectors.withColumnRenamed("id", "ask"), "asked")
+    pairs = asked.select("ask", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("visit")).select("ask", (F.col("visit") % index.n_cells).alias("cell"))
+    visits = materialize(pairs, "visits")
+    assert visits._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 256 * 1024
+    plan = dense._meet(index, asked, visits, 2)._jdf.queryExecution().executedPlan().toString()
+    # the layout and the members of cells only
+    assert plan.count("BroadcastHashJoin") == 2

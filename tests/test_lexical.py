@@ -190,3 +190,14 @@ def test_rows_of_one_position_add_up(spark, tmp_path):
     index = lexical.build_lexical_index(df, str(tmp_path / "i"))
     found = {(r.text_id, r.term, r.tf) for r in index.postings.collect()}
     assert (1, "a", 2) in found and (2, "c", 4) in found and (3, "e", 1) in found
+
+
+def test_questions_are_not_broadcast(spark, tmp_path):
+    documents = random_texts(31, 50, 40, 12, copies=0.0)
+    index = lexical.build_lexical_index(corpus(spark, documents), str(tmp_path / "i"))
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("w"), F.pmod(F.hash("id", i), F.lit(40)))), " ")
+    found = lexical.bm25_search(index, spark.range(20_000).select(F.col("id").alias("query_id"), words.alias("question")), 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    last = next(line for line in plan.splitlines() if "Join" in line)
+    assert "SortMergeJoin [digest" in last
+    assert found.count() == 40_000
